@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 # --- fixed values: transliterations that are not "base letter plus accent" ---
 MULTI_LETTER_FOLDS = {
     "ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th",
-    "…": "...", "—": "--", "―": "--",
+    "\u2026": "...", "\u2014": "--", "\u2015": "--",
 }
 SINGLE_LETTER_FOLDS = {
     "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l",
     "Ħ": "H", "ħ": "h", "ı": "i", "Ŧ": "T", "ŧ": "t",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "‘": "'", "’": "'", "“": '"', "”": '"',
-    " ": " ", " ": " ", " ": " ", " ": " ", "　": " ",
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-",
+    "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"',
+    "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
 }
 CYRILLIC_FOLDS = {
     "А": "A", "Б": "B", "В": "V", "Г": "G", "Д": "D", "Е": "E", "Ё": "Io", "Ж": "Zh",
@@ -43,6 +44,8 @@ ARMED_FORCES = [
 # --- fixed values: the one special token of the tokenizer ---
 UNKNOWN_TOKEN = "[UNK]"
 
+NON_ASCII = r"[^\x00-\x7F]"
+
 
 def _latin_folds() -> dict[str, str]:
     """Accented Latin letters whose decomposition starts with an ASCII letter."""
@@ -69,16 +72,11 @@ def _replace_all(c: Column, table: Mapping[str, str]) -> Column:
 def ascii_fold(c: Column) -> Column:
     """Transliterate to ASCII. Letters of scripts without a rule are dropped.
 
-    Plain ASCII rows skip every table; Cyrillic and Greek tables run only on
-    rows that hold such letters.
+    Texts that are plain ASCII already skip every table.
     """
-    latin = _replace_all(_replace_all(c, MULTI_LETTER_FOLDS), _latin_folds())
-    other = _replace_all(latin, _with_lower(GREEK_FOLDS) | _with_lower(CYRILLIC_FOLDS))
-    return (
-        F.when(~c.rlike(r"[^\x00-\x7F]"), c)
-        .when(c.rlike(r"[Ͱ-ԯ]"), F.regexp_replace(other, r"[^\x00-\x7F]", ""))
-        .otherwise(F.regexp_replace(latin, r"[^\x00-\x7F]", ""))
-    )
+    table = MULTI_LETTER_FOLDS | _latin_folds() | _with_lower(GREEK_FOLDS) | _with_lower(CYRILLIC_FOLDS)
+    folded = F.regexp_replace(_replace_all(c, table), NON_ASCII, "")
+    return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -96,20 +94,28 @@ def drop_country_suffix(c: Column, countries: Iterable[str]) -> Column:
     names = sorted(set(countries))
     if not names:
         return c
-    suffix = r"\((?:%s)\)\s*$" % "|".join(map(re.escape, names))
-    last = F.regexp_extract(c, r"(%s)" % suffix, 1)
-    tag = F.regexp_replace(last, r"\s+$", "")
-    return F.when(last != "", F.replace(c, tag, F.lit(""))).otherwise(c)
+    suffix = F.regexp_extract(c, r"(\((?:%s)\))\s*$" % "|".join(map(re.escape, names)), 1)
+    return F.replace(c, suffix, F.lit(""))  # an empty suffix replaces nothing
 
 
-def clean_match_text(c: Column, countries: Iterable[str] = (), armed_forces: bool = True) -> Column:
-    """Key used for all name and place containment tests."""
-    c = ascii_fold(drop_country_suffix(ampersand(c), countries))
+def expand_and_strip(c: Column, armed_forces: bool) -> Column:
     for short, full in ABBREVIATIONS + (ARMED_FORCES if armed_forces else []):
         c = F.replace(c, F.lit(short), F.lit(full))
     return F.regexp_replace(c, "[^0-9a-zA-Z]", "")
 
 
+def clean_match_text(c: Column, countries: Iterable[str] = (), armed_forces: bool = True) -> Column:
+    """Key used for all name and place containment tests."""
+    return expand_and_strip(ascii_fold(drop_country_suffix(ampersand(c), countries)), armed_forces)
+
+
+def with_clean_text(df: DataFrame, col: str, out: str, countries: Iterable[str] = ()) -> DataFrame:
+    """``clean_match_text`` in steps, so no step is evaluated twice on a row."""
+    staged = df.withColumn(out, ampersand(F.col(col)))
+    staged = staged.withColumn(out, drop_country_suffix(F.col(out), countries))
+    return staged.withColumn(out, expand_and_strip(ascii_fold(F.col(out)), armed_forces=True))
+
+
 def match_key(c: Column) -> Column:
     """Lower-case alphanumeric key of a generated string's alias."""
     return F.regexp_replace(F.lower(ascii_fold(ampersand(c))), "[^a-z0-9]", "")
@@ -224,8 +230,12 @@ def index_ngrams(c: Column, n: int = 4) -> Column:
     Words are joined by one blank and padded, so grams see word edges.
     """
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(ascii_fold(c)), "[^0-9a-z]+", " "), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(flat, i, F.lit(n))))
+    return F.array_distinct(char_windows(flat, n))
+
+
+def char_windows(c: Column, n: int) -> Column:
+    """Every run of ``n`` characters. The look-ahead walks the text once."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
 
 def pad_truncate(tokens: Column, length: int = 128, pad: int = 0) -> Column:

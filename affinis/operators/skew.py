@@ -75,3 +75,13 @@ def salted_lookup(
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_facts = facts.withColumn("_salt", _salt(spread or facts.columns, salts))
     return salted_facts.join(salted_dim, [key, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
+
+    Beyond that the table is returned as it is and Spark picks the join.
+    """
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    return F.broadcast(df)
