@@ -181,19 +181,18 @@ def _found_patterns(text: Column, patterns: Iterable[str]) -> Column:
     return F.concat(*hits) if hits else F.array().cast("array<string>")
 
 
-def countries_in_text(text: Column, patterns: Mapping[str, Iterable[str]], regex: bool = False) -> Column:
+def countries_in_text(text: Column, patterns: Mapping[str, list[str]], regex: bool = False) -> Column:
     """Sorted countries with a pattern in the text or in its dot-free form.
 
     ``regex=True`` takes patterns as regular expressions, one test per country.
     """
     forms = [text, F.replace(text, F.lit("."), F.lit(""))]
     if regex:
-        tests = [
-            F.when(forms[0].rlike(rx) | forms[1].rlike(rx), F.lit(country))
-            for country, terms in sorted(patterns.items())
-            if (terms := list(terms))
-            for rx in [r"(?U)\b(?:%s)\b" % "|".join(terms)]
-        ]
+        tests = []
+        for country, terms in sorted(patterns.items()):
+            if terms:
+                rx = r"(?U)\b(?:%s)\b" % "|".join(terms)
+                tests.append(F.when(forms[0].rlike(rx) | forms[1].rlike(rx), F.lit(country)))
         return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
     owners: dict[str, list[str]] = {}
     for country, terms in sorted(patterns.items()):

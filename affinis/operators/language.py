@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from affinis.functions.text import char_windows
 
 PROFILE_SIZE = 300
-MAX_PROFILE_ROWS = 100_000
 
 # --- fixed values: scripts that decide the language, and letters that split a script ---
 SCRIPT_LANGUAGES = [("Hangul", "ko"), ("Han", "zh-cn"), ("Cyrillic", "ru"), ("Arabic", "ar")]
@@ -58,17 +57,17 @@ def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFra
                     default: str = "en", size: int = PROFILE_SIZE) -> DataFrame:
     """``id, lang`` per row: script first, then the profile sharing most weight, then ``default``.
 
-    A text scores ``size + 1 - rank`` for each distinct profile trigram in it. The
-    profile table has ``size`` rows per language, so it is broadcast and texts
-    are matched where they are; only per-language sums are shuffled.
+    A text scores ``size + 1 - rank`` for each distinct profile trigram in it.
+    Pass profiles as a stored table (``size`` rows per language): Spark sees how
+    small the files are and broadcasts them, so texts are matched where they are
+    and only per-language sums are shuffled.
     """
     scripted = df.select(id_col, text_col, script_language(F.col(text_col)).alias("_script"))
     if profiles is None:
         return scripted.select(id_col, F.coalesce("_script", F.lit(default)).alias("lang"))
-    profiles = profiles.limit(MAX_PROFILE_ROWS)
     open_text = F.when(F.col("_script").isNull(), F.array_distinct(trigrams(F.col(text_col))))
     grams = scripted.select(id_col, "_script", F.explode_outer(open_text).alias("gram"))
-    hits = grams.join(F.broadcast(profiles), "gram", "left")
+    hits = grams.join(profiles, "gram", "left")
     sums = hits.groupBy(id_col, "lang").agg(
         F.first("_script").alias("_script"), F.sum(F.lit(size + 1) - F.col("rank")).alias("s")
     )
