@@ -125,6 +125,11 @@ def comma_parts(c: Column) -> Column:
     return F.size(F.split(c, ","))
 
 
+def has_word(c: Column, words: Iterable[str]) -> Column:
+    """One of the words (or phrases) stands between word boundaries."""
+    return c.rlike(r"(?U)\b(?:%s)\b" % "|".join(map(re.escape, words)))
+
+
 def id_from_url(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from affinis.functions.text import char_windows
 
-# Anchor lengths in characters, longest first. The last one covers every name.
-ANCHOR_LENGTHS = (16, 6, 1)
+# Run length and step of each class of names, by falling name length. A class takes
+# names of at least ``length + step - 1`` characters; the last one takes all others.
+RUN_CLASSES = ((16, 16), (8, 8), (5, 4), (5, 1), (1, 1))
 
 
 def contained_name(text: Column, names: Column) -> Column:
@@ -26,49 +27,73 @@ def join_contains_candidates(candidates: DataFrame, texts: DataFrame, names: Dat
     return joined.filter(F.col("clean").contains(F.col("name"))).select("text_id", "inst_id", "name")
 
 
-def _anchors(text: Column, length: int) -> Column:
-    grams = F.array_distinct(char_windows(text, length))
-    return F.transform(grams, lambda g: F.xxhash64(g))
+def _text_runs(texts: DataFrame, text_id: str, text_col: str, length: int, step: int) -> DataFrame:
+    """Hashes of the runs that start at every ``step``-th character."""
+    pattern = "(?s)(?=(.{%d})).{1,%d}" % (length, step)
+    runs = texts.select(text_id, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1))).alias("run"))
+    return runs.select(text_id, F.xxhash64("run").alias("run"))
+
+
+def _name_runs(names: DataFrame, name_id: str, name_col: str, length: int, step: int) -> DataFrame:
+    """Hashes of all runs of a name in blocks of ``step`` neighbours; incomplete blocks are left out."""
+    blocks = F.floor((F.length(name_col) - (length - 1)) / step)
+    runs = names.select(
+        name_id, blocks.alias("_blocks"), F.posexplode(char_windows(F.col(name_col), length)).alias("_pos", "run"))
+    runs = runs.withColumn("block", F.floor(F.col("_pos") / step)).filter(F.col("block") < F.col("_blocks"))
+    return runs.select(name_id, "block", F.xxhash64("run").alias("run")).distinct()
+
+
+def _name_class(c: Column) -> Column:
+    return F.coalesce(*[
+        F.when(F.length(c) >= length + step - 1, i) for i, (length, step) in enumerate(RUN_CLASSES)
+    ])
 
 
 def join_contains(texts: DataFrame, names: DataFrame, text_id: str, text_col: str,
                   name_id: str, name_col: str) -> DataFrame:
     """All (text, name) pairs where the name occurs in the text, without comparing all pairs.
 
-    A name can only occur where all its character runs occur. Each name is
-    looked up by one run, its anchor: the one found in the fewest texts, so that
-    common beginnings do not bring whole groups of texts and names together.
-    Names are split by length into classes with runs of 16, 6 and 1 characters;
-    every non-empty name falls into one class, and matches are verified on the
-    full text, so the result is exact.
+    Texts are cut into runs at every ``step``-th character. Wherever a name
+    occurs, each block of ``step`` neighbouring runs of the name has exactly one
+    that meets a cut, so one block is enough to find all texts with the name.
+    The block found in the fewest texts is taken, so common beginnings do not
+    bring whole groups of texts and names together. Every non-empty name is in
+    one length class and matches are verified on the full text: the result is
+    exact. Runs travel as 8-byte hashes; with Spark's size check passed for the
+    names, only runs that some name has leave the task that reads the text.
     """
+    # the same filter everywhere lets Spark compute the runs of the texts once
+    texts = texts.select(text_id, text_col).filter(F.col(text_id).isNotNull() & F.col(text_col).isNotNull())
+    classed = names.filter(F.col(name_id).isNotNull()).select(name_id, name_col, _name_class(F.col(name_col)).alias("_class"))
+    # at most five rows: the classes that occur
+    present = sorted(r[0] for r in classed.select("_class").distinct().collect() if r[0] is not None)
     out = None
-    names = names.select(name_id, name_col)
-    upper = None
-    for length in ANCHOR_LENGTHS:
-        in_class = F.length(name_col) >= length
-        if upper:
-            in_class = in_class & (F.length(name_col) < upper)
-        upper = length
-        cls = names.filter(in_class)
-        name_runs = cls.select(name_id, F.explode(_anchors(F.col(name_col), length)).alias("run"))
-        text_runs = texts.select(text_id, F.explode(_anchors(F.col(text_col), length)).alias("run"))
-        known_runs = text_runs.join(name_runs.select("run").distinct(), "run", "left_semi")
-        found_in = known_runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
-        anchors = (
+    for number in present:
+        length, step = RUN_CLASSES[number]
+        cls = classed.filter(F.col("_class") == number).select(name_id, name_col)
+        name_runs = _name_runs(cls, name_id, name_col, length, step)
+        known = _text_runs(texts, text_id, text_col, length, step).join(
+            name_runs.select("run").distinct(), "run", "left_semi"
+        ).distinct()
+        found_in = known.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+        rarest = (
             name_runs.join(found_in, "run", "left")
-            .groupBy(name_id)
-            .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("a"))
-            .filter("a.texts > 0")
-            .select(name_id, F.col("a.run").alias("run"))
+            .groupBy(name_id, "block").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"))
+            .groupBy(name_id).agg(F.min(F.struct("texts", "block")).alias("best"))
+            .filter("best.texts > 0")  # a block no text has: the name occurs nowhere
+            .select(name_id, F.col("best.block").alias("block"))
         )
-        pairs = known_runs.join(anchors, "run").select(text_id, name_id)
+        anchors = name_runs.join(rarest, [name_id, "block"]).select(name_id, "run")
+        pairs = known.join(anchors, "run").select(text_id, name_id).distinct()
         checked = (
-            pairs.join(cls, name_id).join(texts.select(text_id, text_col), text_id)
+            pairs.join(cls, name_id).join(texts, text_id)
             .filter(F.col(text_col).contains(F.col(name_col)))
             .select(text_id, name_id)
         )
         out = checked if out is None else out.unionByName(checked)
+    if out is None:  # no name at all
+        empty = names.select(name_id).filter(F.lit(False))
+        out = texts.select(text_id).withColumn("_k", F.lit(0)).join(empty.withColumn("_k", F.lit(0)), "_k").drop("_k")
     return out
 
 
