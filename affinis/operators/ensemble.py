@@ -16,7 +16,12 @@ from affinis.operators.gate import any_of
 from affinis.operators.matching import contained_name, inside_any, inside_longer
 from affinis.operators.skew import salted_lookup
 
-BY_TEXT = Window.partitionBy("text_id")
+
+
+def by_text():
+    return Window.partitionBy("text_id")
+
+
 INSTITUTION_COLUMNS = [
     "inst_id", "display_name", "city", "country", "final_names", "is_common", "clean_display", "clean_city",
 ]
@@ -69,8 +74,8 @@ def country_rerank(candidates: DataFrame, model: str) -> DataFrame:
     rank = F.col(f"{model}_rank")
     seen = rank.isNotNull()
     row = [rank.alias("rank"), F.col("inst_id"), F.col(f"{model}_score").alias("score")]
-    best = F.min(F.when(seen, F.struct(*row, _has_country().alias("has_country")))).over(BY_TEXT)
-    fitting = F.min(F.when(seen & country_found(), F.struct(*row))).over(BY_TEXT)
+    best = F.min(F.when(seen, F.struct(*row, _has_country().alias("has_country")))).over(by_text())
+    fitting = F.min(F.when(seen & country_found(), F.struct(*row))).over(by_text())
     out = candidates.withColumn("_best", best).withColumn("_fitting", fitting)
     plain = F.when(F.col("_best").isNotNull(), F.struct("_best.rank", "_best.inst_id", "_best.score"))
     use_fit = F.col("_best.has_country") & (F.size("countries") > 0) & F.col("_fitting").isNotNull()
@@ -121,8 +126,8 @@ def match_names(picked: DataFrame) -> DataFrame:
 def suppress_substrings(matched: DataFrame) -> DataFrame:
     """Clear ``name`` where it is inside a longer match or inside a name of the pick."""
     is_pick = F.col("inst_id") == F.col("pick.inst_id")
-    seen = matched.withColumn("_names", F.collect_set("name").over(BY_TEXT)).withColumn(
-        "_pick_names", F.first(F.when(is_pick, F.col("final_names")), ignorenulls=True).over(BY_TEXT)
+    seen = matched.withColumn("_names", F.collect_set("name").over(by_text())).withColumn(
+        "_pick_names", F.first(F.when(is_pick, F.col("final_names")), ignorenulls=True).over(by_text())
     )
     covered = inside_longer(F.col("name"), F.col("_names")) | inside_any(F.col("name"), F.col("_pick_names"))
     kept = F.when(F.col("name").isNotNull() & ~covered, F.col("name"))
@@ -179,8 +184,8 @@ def common_name_check() -> Column:
 
     Counts refer to the rows of the text, so this runs before removals.
     """
-    alone = F.count(F.lit(1)).over(BY_TEXT) == 1
-    others = F.max(~F.col("is_common")).over(BY_TEXT)
+    alone = F.count(F.lit(1)).over(by_text()) == 1
+    others = F.max(~F.col("is_common")).over(by_text())
     department = _starts("Department of")
     academic = F.col("raw").contains("College") | F.col("raw").contains("University")
     exact = F.coalesce(F.col("clean_display") == F.col("clean_stripped"), F.lit(False))

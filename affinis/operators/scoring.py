@@ -13,6 +13,7 @@ from affinis.fixed_values import TOP_CANDIDATES
 from affinis.functions.text import index_ngrams, index_words
 from affinis.operators.skew import salted_lookup, skew_join
 
+MODEL_OUTPUT = "labels array<bigint>, scores array<double>"
 TERMS = {"basic": index_words, "lang": index_ngrams}
 DECIMALS = 6
 SHARPNESS = 20.0
@@ -100,8 +101,11 @@ def score_texts(texts: DataFrame, index: DataFrame, model: str, text_col: str =
 def score_external(texts: DataFrame, predict: Column, model: str, k: int = TOP_CANDIDATES) -> DataFrame:
     """Scores of a model of your own.
 
-    ``predict`` is a column (for example a ``predict_batch_udf``) of
-    ``array<struct<inst_id, score>>`` per text.
+    ``predict`` is a struct column of two equally long lists, ``labels`` and
+    ``scores``, per text; a ``predict_batch_udf`` with return type
+    ``MODEL_OUTPUT`` gives one in Arrow batches.
     """
-    rows = texts.select("text_id", F.explode(predict).alias("c")).select("text_id", "c.inst_id", "c.score")
+    rows = texts.select("text_id", predict.alias("p")).select(
+        "text_id", F.explode(F.arrays_zip("p.labels", "p.scores")).alias("c")
+    ).select("text_id", F.col("c.labels").alias("inst_id"), F.col("c.scores").alias("score"))
     return topk_candidates(rows, k).select("text_id", F.lit(model).alias("model"), "rank", "inst_id", "score")
