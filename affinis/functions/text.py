@@ -210,7 +210,8 @@ def countries_in_text(text: Column, patterns: Mapping[str, list[str]], regex: bo
         part for term, who in owners.items()
         for part in (F.lit(term), F.array(*[F.lit(w) for w in who]))
     ])
-    hits = F.array_distinct(F.concat(*[_found_patterns(f, owners) for f in forms]))
+    dotless = F.when(text.contains("."), _found_patterns(forms[1], owners)).otherwise(F.array().cast("array<string>"))
+    hits = F.array_distinct(F.concat(_found_patterns(text, owners), dotless))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda p: F.element_at(lookup, p)))))
 
 

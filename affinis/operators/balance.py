@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.draws import draw_int, draw_key, draw_unit
-from affinis.operators.relational import clean_rows, dedupe_count, id_count, join_known_ids
+from affinis.operators.relational import clean_rows, id_count
+from affinis.operators.skew import salted_lookup
 
 # --- fixed values: size of the largest institution and the usual sample size ---
 LARGEST_ID_COUNT = 3_500_000
@@ -83,7 +84,9 @@ def balanced_training_set(history: DataFrame, synthetic: DataFrame, n: int = SAM
                           text_col: str = "original_affiliation", id_col: str = "affiliation_id") -> DataFrame:
     """Clean and dedupe history, keep ids with synthetic strings, add those, balance per id."""
     cleaned = clean_rows(history.select(text_col, id_col), text_col)
-    known = join_known_ids(dedupe_count(cleaned, text_col, id_col).select(text_col, id_col), synthetic, id_col)
+    ids = synthetic.select(id_col).distinct()
+    known = salted_lookup(cleaned, ids, id_col, "left_semi")
+    # one distinct over the union dedupes history too
     pool = (
         known.select(text_col, id_col)
         .union(synthetic.select(text_col, id_col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.functions.text import char_windows
+from affinis.functions.text import NON_ASCII, char_windows
 
 PROFILE_SIZE = 300
 
@@ -25,7 +25,7 @@ def script_language(c: Column) -> Column:
     """Language told by the script most letters belong to; null for Latin text."""
     letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
     kana = "".join(rf"\p{{Is{k}}}" for k in KANA)
-    out = F.when(letters == 0, F.lit(None)).when(c.rlike(f"[{kana}]") & (_letters(c, kana + r"\p{IsHan}") * 2 >= letters), "ja")
+    out = F.when(~c.rlike(NON_ASCII) | (letters == 0), F.lit(None)).when(c.rlike(f"[{kana}]") & (_letters(c, kana + r"\p{IsHan}") * 2 >= letters), "ja")
     for script, lang in SCRIPT_LANGUAGES:
         most = _letters(c, rf"\p{{Is{script}}}") * 2 >= letters
         if lang == "ru":

@@ -75,9 +75,13 @@ def dedupe_pick(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ joins --
 def join_known_ids(history: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """Distinct history rows whose id occurs in ``known``."""
+    """Distinct history rows whose id occurs in ``known``.
+
+    The id list is one row per institution. Spark broadcasts it where its size
+    allows; otherwise the rows of a frequent id are split by salt.
+    """
     ids = known.select(id_col).distinct()
-    return skew_join(history.distinct(), ids, [id_col], "left_semi")
+    return salted_lookup(history, ids, id_col, "left_semi").distinct()
 
 
 def join_registry(registry: DataFrame, institutions: DataFrame, key: str) -> DataFrame:

@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinis.fixed_values import TOP_CANDIDATES
 from affinis.functions.text import index_ngrams, index_words
-from affinis.operators.skew import salted_lookup, skew_join
+from affinis.operators.skew import salted_lookup
 
-MODEL_OUTPUT = "labels array<bigint>, scores array<double>"
+MODEL_OUTPUT = T.StructType([
+    T.StructField("labels", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType())),
+])
 TERMS = {"basic": index_words, "lang": index_ngrams}
 DECIMALS = 6
 SHARPNESS = 20.0
-# A term seen with more institutions than this is no feature: it tells none of them apart.
-MAX_TERM_INSTITUTIONS = 1000
+# Feature selection of the models, as a vocabulary size is: a term used for more
+# institutions than this does not tell them apart and is no feature.
+MAX_TERM_INSTITUTIONS = {"basic": 1000, "lang": 50}
+INDEX_SALTS = 8
 
 
 def text_terms(df: DataFrame, model: str, text_col: str, *keep: str) -> DataFrame:
@@ -26,12 +31,13 @@ def text_terms(df: DataFrame, model: str, text_col: str, *keep: str) -> DataFram
 
 
 def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", text_col: str = "text",
-                    max_term_institutions: int = MAX_TERM_INSTITUTIONS) -> DataFrame:
+                    max_term_institutions: int | None = None) -> DataFrame:
     """``term, inst_id, weight, idf, df`` learned from labelled texts.
 
     ``weight`` is ``(1 + ln tf) * ln(N / df)`` scaled to length 1 per institution.
     Terms that every institution shares weigh nothing and are left out.
     """
+    limit = max_term_institutions or MAX_TERM_INSTITUTIONS[model]
     tf = (
         text_terms(training.select(F.col(id_col).alias("inst_id"), text_col), model, text_col, "inst_id")
         .groupBy("inst_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -40,7 +46,7 @@ def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", te
     df = (
         tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-        .filter((F.col("df") < F.col("n_inst")) & (F.col("df") <= max_term_institutions))
+        .filter((F.col("df") < F.col("n_inst")) & (F.col("df") <= limit))
         .select("term", "df", F.round(F.log(F.col("n_inst") / F.col("df")), DECIMALS).alias("idf"))
     )
     # A shared term has one row per institution in tf, so frequent terms are split.
@@ -56,11 +62,14 @@ def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", te
 def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """Cosine of each text with every institution it shares a term with.
 
-    Frequent words are split over tasks before the join; afterwards everything
-    is partitioned by text once, which serves the sums, the text length and the ranking.
+    A term has at most ``MAX_TERM_INSTITUTIONS`` index rows, so a text meets a
+    bounded number of institutions. The index is read from a stored table: Spark
+    broadcasts it if its size allows; if not, frequent words are split over tasks
+    by salt. Afterwards everything is partitioned by text once, which serves the
+    sums, the text length and the ranking.
     """
     terms = text_terms(texts.select("text_id", text_col), model, text_col, "text_id")
-    hits = skew_join(terms, index, ["term"], "inner", spread=["text_id"]).select(
+    hits = salted_lookup(terms, index, "term", "inner", ["text_id"], INDEX_SALTS).select(
         "text_id", "inst_id", (F.col("weight") * F.col("idf")).alias("p"),
         (F.col("idf") * F.col("idf") / F.col("df")).alias("q"),
     )

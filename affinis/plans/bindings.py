@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.functions.draws import draw_key
-from affinis.sources.readers import read_table
+from affinis.sources.readers import read_table, spread
 
 
 class Tables:
@@ -19,6 +18,11 @@ class Tables:
         self.spark = spark
         self.path = path
 
+    @property
+    def wide_documents(self) -> DataFrame:
+        """Documents for costly text work; one file of few row groups is spread over the cores."""
+        return spread(self.documents, "doc_id")
+
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.path}/{name}.parquet")
 
@@ -66,8 +70,7 @@ def institution(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------- mentions --
 SQL_MENTION = """mention AS (
-  SELECT ('0x' || substr(md5(concat_ws('|', 7, l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                                       CAST(round(l_extendedprice * 100) AS BIGINT))), 1, 15))::BIGINT AS mention_id,
+  SELECT ((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 1024 + l_suppkey % 1024 AS mention_id,
          p_name || ' ' || p_type || ' ' || p_brand || ', ' || s_name || ', ' || n_name AS affiliation_string,
          l_suppkey AS inst_id
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -81,10 +84,11 @@ def mention(t: Tables) -> DataFrame:
         t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    key = draw_key(7, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+    # line numbers repeat within an order, so part and supplier are part of the id
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    key = (line * 32768 + F.col("l_partkey") % 32768) * 1024 + F.col("l_suppkey") % 1024
     return rows.select(
-        F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint").alias("mention_id"),
+        key.alias("mention_id"),
         F.concat(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.lit(", "), "s_name", F.lit(", "), "n_name")
         .alias("affiliation_string"),
         F.col("l_suppkey").alias("inst_id"),

@@ -208,8 +208,9 @@ def picked_orders(t: Tables) -> DataFrame:
 
 
 # ================================================================= scorers ==
-def sql_index(model: str, corpus: str = "mention", max_inst: int = scoring.MAX_TERM_INSTITUTIONS) -> str:
+def sql_index(model: str, corpus: str = "mention", max_inst: int | None = None) -> str:
     terms = sql_words if model == "basic" else sql_ngrams
+    max_inst = max_inst or scoring.MAX_TERM_INSTITUTIONS[model]
     m = model
     return f"""{m}_tf AS (SELECT inst_id, term, count(*) AS tf FROM
     (SELECT inst_id, unnest({terms('affiliation_string')}) AS term FROM {corpus}) GROUP BY 1, 2),
@@ -296,7 +297,7 @@ def score_external(t: Tables):
 
 # ========================================================== gate and rules ==
 SQL_GATE_MENTION = f"""{SQL_MENTION},
-gate_mention AS (SELECT mention_id, inst_id, CASE mention_id % 16
+gate_mention AS (SELECT mention_id, inst_id, CASE (mention_id >> 10) % 16
     WHEN 0 THEN split_part(affiliation_string, ', ', 3) WHEN 1 THEN 'red bolt' WHEN 2 THEN 'Dep ' || split_part(affiliation_string, ', ', 1)
     WHEN 3 THEN 'ZHANG, ' || affiliation_string WHEN 4 THEN affiliation_string || ' et al ' WHEN 5 THEN 'LIU University, ' || affiliation_string
     WHEN 6 THEN NULL WHEN 7 THEN '- -' WHEN 8 THEN '中文大学' || inst_id WHEN 9 THEN 'Университет ' || inst_id
@@ -321,7 +322,7 @@ gated AS (SELECT *, CASE WHEN lang IN ('zh-cn', 'ru') THEN false WHEN length(cle
 
 def gate_mentions(t: Tables) -> DataFrame:
     """Mentions of which most kinds the gate knows occur."""
-    kind, text = F.col("mention_id") % 16, F.col("affiliation_string")
+    kind, text = F.shiftright("mention_id", 10) % 16, F.col("affiliation_string")
     changed = (
         F.when(kind == 0, F.split(text, ", ")[2]).when(kind == 1, "red bolt")
         .when(kind == 2, F.concat(F.lit("Dep "), F.split(text, ", ")[0]))

@@ -166,7 +166,7 @@ def clean_rows(t: Tables):
   FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents))
 SELECT doc_id, word, count(*) AS n FROM s WHERE length(word) > 2 GROUP BY 1, 2""")
 def filter_min_len(t: Tables):
-    words = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    words = t.wide_documents.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
     kept = rel.filter_min_len(words.withColumn("word", F.nullif("word", F.lit("the"))), "word")
     return kept.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -251,7 +251,7 @@ FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label FROM documen
 GROUP BY ALL""")
 def explode_labels(t: Tables):
     labels = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("label"), F.col("lang").alias("iso639")))
-    rows = t.documents.filter("source is not null").select("doc_id", labels.alias("labels"))
+    rows = t.wide_documents.filter("source is not null").select("doc_id", labels.alias("labels"))
     return dims.explode_labels(rows, "doc_id").groupBy("doc_id", "label", "iso639").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -473,7 +473,7 @@ SQL_TOKENS = f"regexp_extract_all(lower({sql_fold('text')}), '\\w+|[^\\w\\s]+')"
 @query(f"""SELECT token, count(*) AS n FROM (SELECT unnest({SQL_TOKENS}) AS token FROM documents)
 GROUP BY 1 ORDER BY n DESC, token LIMIT 3816""")
 def term_frequency(t: Tables):
-    return features.term_frequency(t.documents, "text")
+    return features.term_frequency(t.wide_documents, "text")
 
 
 # =============================================================== windows ==
@@ -622,4 +622,4 @@ def supplier_places(t: Tables):
   AS words FROM documents""")
 def array_union_distinct(t: Tables):
     both = rel.array_union_distinct(F.split("text", " "), F.split(F.lower("text"), " "))
-    return t.documents.select("doc_id", listed(both).alias("words"))
+    return t.wide_documents.select("doc_id", listed(both).alias("words"))

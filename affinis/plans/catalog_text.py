@@ -36,7 +36,7 @@ def join_country_regex(t: Tables):
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def join_contains(t: Tables):
     passages = t.benchmark.withColumnRenamed("text", "passage")
-    return matching.join_contains(t.documents, passages, "doc_id", "text", "item_id", "passage")
+    return matching.join_contains(t.wide_documents, passages, "doc_id", "text", "item_id", "passage")
 
 
 SQL_MATCHES = """m AS (SELECT DISTINCT l_orderkey AS text_id, l_suppkey AS inst_id,
@@ -73,7 +73,7 @@ def anti_primary_name(t: Tables):
 UNION ALL SELECT 's' || s_suppkey, md5({sql_clean("(s_name || ' & U.S. Army Lab. (' || n_name || ') ')", countries=True)})
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def clean_match_text(t: Tables):
-    docs = text.with_clean_text(t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"), "text", "clean")
+    docs = text.with_clean_text(t.wide_documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"), "text", "clean")
     named = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("s"), "s_suppkey").alias("id"),
         F.concat("s_name", F.lit(" & U.S. Army Lab. ("), "n_name", F.lit(") ")).alias("text"))
@@ -96,12 +96,12 @@ def match_key(t: Tables):
 
 @query(f"SELECT doc_id, md5({sql_fold('text')}) AS folded FROM documents")
 def ascii_fold(t: Tables):
-    return t.documents.select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("folded"))
+    return t.wide_documents.select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("folded"))
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, ',')) AS INTEGER) AS parts FROM documents")
 def comma_parts(t: Tables):
-    return t.documents.select("doc_id", text.comma_parts(F.col("text")).alias("parts"))
+    return t.wide_documents.select("doc_id", text.comma_parts(F.col("text")).alias("parts"))
 
 
 @query("""SELECT p_partkey, starts_with(p_name, 'red') AS starts, ends_with(p_name, 'bolt') AS ends,
@@ -121,7 +121,7 @@ def sql_bounded(x: str, words: str) -> str:
 @query(f"""SELECT doc_id, {sql_bounded('upper(text)', 'LE|THE|DER')} AS surname, {sql_bounded('text', 'the of')} AS phrase
 FROM documents""")
 def regex_tests(t: Tables):
-    return t.documents.select(
+    return t.wide_documents.select(
         "doc_id", text.has_word(F.upper("text"), ["LE", "THE", "DER"]).alias("surname"),
         text.has_word(F.col("text"), ["the of"]).alias("phrase"))
 
@@ -201,19 +201,19 @@ ids AS (SELECT doc_id, pos, coalesce(token_id, 0) AS token_id FROM pos LEFT JOIN
 
 
 def document_vocab(t: Tables):
-    return features.token_vocab(features.term_frequency(t.documents, "text"))
+    return features.token_vocab(features.term_frequency(t.wide_documents, "text"))
 
 
 @query(f"""WITH {SQL_VOCAB} SELECT doc_id, string_agg(token_id, '|' ORDER BY pos) AS token_ids FROM ids GROUP BY 1""")
 def encode_tokens(t: Tables):
-    encoded = features.encode_tokens(t.documents, document_vocab(t), "doc_id", "text")
+    encoded = features.encode_tokens(t.wide_documents, document_vocab(t), "doc_id", "text")
     return encoded.select("doc_id", listed("token_ids").alias("token_ids"))
 
 
 @query(f"""WITH {SQL_VOCAB} SELECT doc_id, string_agg(token_id, '|' ORDER BY pos) ||
   repeat('|0', greatest(128 - count(*), 0)) AS model_input FROM ids WHERE pos <= 128 GROUP BY 1""")
 def pad_truncate(t: Tables):
-    rows = features.model_input(t.documents, document_vocab(t), "doc_id", "text")
+    rows = features.model_input(t.wide_documents, document_vocab(t), "doc_id", "text")
     return rows.select("doc_id", listed("model_input").alias("model_input"))
 
 
@@ -237,7 +237,7 @@ def json_round_trip(t: Tables):
 @query("""SELECT lang, round(sum(toxic)::DOUBLE / nullif(sum(quality), 0), 3) AS share
 FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
 def round_ratio(t: Tables):
-    sums = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
+    sums = t.labels.join(t.wide_documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
         F.sum("toxic").alias("a"), F.sum("quality").alias("b"))
     return sums.select("lang", ratio(F.col("a"), F.col("b")).alias("share"))
 
@@ -358,5 +358,5 @@ s AS (SELECT doc_id, p.lang, sum(301 - rank) AS s FROM (SELECT DISTINCT doc_id,
 b AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
 SELECT doc_id, coalesce(b.lang, 'en') AS lang FROM documents LEFT JOIN b USING (doc_id)""")
 def detect_language(t: Tables):
-    profiles = materialize(language.fit_language_profiles(t.documents, "text", "lang"), "profiles")
-    return language.detect_language(t.documents, "doc_id", "text", profiles)
+    profiles = materialize(language.fit_language_profiles(t.wide_documents, "text", "lang"), "profiles")
+    return language.detect_language(t.wide_documents, "doc_id", "text", profiles)

@@ -18,6 +18,7 @@ def local_session(cpus: str | int = "*", app: str = "affinis", **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.openCostInBytes", "262144")  # small test files: keep all cores busy
         .config("spark.driver.memory", os.environ.get("AFFINIS_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():

@@ -15,6 +15,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of fewer files than cores before costly work on each row.
+
+    One file may be a single row group, which only one task can read. A large
+    table has many files and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read_registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Institution registry: one JSON array, or one record per line with ``multi_line=False``.
 
