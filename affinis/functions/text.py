@@ -57,8 +57,15 @@ def _latin_folds() -> dict[str, str]:
     return folds | SINGLE_LETTER_FOLDS
 
 
-def _with_lower(table: Mapping[str, str]) -> dict[str, str]:
-    return {**table, **{k.lower(): v.lower() for k, v in table.items()}}
+def _script_folds() -> dict[str, str]:
+    """Greek and Cyrillic letters in both cases, with and without accents."""
+    base = GREEK_FOLDS | CYRILLIC_FOLDS
+    folds = {**base, **{k.lower(): v.lower() for k, v in base.items()}}
+    for code in [*range(0x0370, 0x0530), *range(0x1F00, 0x2000)]:
+        letter = unicodedata.normalize("NFD", chr(code))[0]
+        if letter in folds:
+            folds.setdefault(chr(code), folds[letter])
+    return folds
 
 
 def _replace_all(c: Column, table: Mapping[str, str]) -> Column:
@@ -74,7 +81,7 @@ def ascii_fold(c: Column) -> Column:
 
     Texts that are plain ASCII already skip every table.
     """
-    table = MULTI_LETTER_FOLDS | _latin_folds() | _with_lower(GREEK_FOLDS) | _with_lower(CYRILLIC_FOLDS)
+    table = MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
     folded = F.regexp_replace(_replace_all(c, table), NON_ASCII, "")
     return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 

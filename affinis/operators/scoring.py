@@ -24,6 +24,7 @@ SHARPNESS = 20.0
 # institutions than this does not tell them apart and is no feature.
 MAX_TERM_INSTITUTIONS = {"basic": 1000, "lang": 50}
 INDEX_SALTS = 8
+BROADCAST_INDEX_ROWS = 1_000_000  # about 100 MB in memory
 
 
 def text_terms(df: DataFrame, model: str, text_col: str, *keep: str) -> DataFrame:
@@ -63,17 +64,25 @@ def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str =
     """Cosine of each text with every institution it shares a term with.
 
     A term has at most ``MAX_TERM_INSTITUTIONS`` index rows, so a text meets a
-    bounded number of institutions. The index is read from a stored table: Spark
-    broadcasts it if its size allows; if not, frequent words are split over tasks
-    by salt. Afterwards everything is partitioned by text once, which serves the
-    sums, the text length and the ranking.
+    bounded number of institutions. An index of checked small size is broadcast:
+    texts are partitioned by id while they are still one row each, and terms,
+    sums, text length and ranking stay in that partition. A larger index is
+    joined by term, frequent words split over tasks by salt, and the hits are
+    partitioned by text once.
     """
-    terms = text_terms(texts.select("text_id", text_col), model, text_col, "text_id")
-    hits = salted_lookup(terms, index, "term", "inner", ["text_id"], INDEX_SALTS).select(
+    texts = texts.select("text_id", text_col)
+    small = index.limit(BROADCAST_INDEX_ROWS + 1).count() <= BROADCAST_INDEX_ROWS
+    if small:
+        terms = text_terms(texts.repartition("text_id"), model, text_col, "text_id")
+        joined = terms.join(F.broadcast(index), "term")
+    else:
+        terms = text_terms(texts, model, text_col, "text_id")
+        joined = salted_lookup(terms, index, "term", "inner", ["text_id"], INDEX_SALTS).repartition("text_id")
+    hits = joined.select(
         "text_id", "inst_id", (F.col("weight") * F.col("idf")).alias("p"),
         (F.col("idf") * F.col("idf") / F.col("df")).alias("q"),
     )
-    sums = hits.repartition("text_id").groupBy("text_id", "inst_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    sums = hits.groupBy("text_id", "inst_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     length = F.sqrt(F.sum("q").over(Window.partitionBy("text_id")))
     return sums.select("text_id", "inst_id", F.round(F.col("p") / length, DECIMALS).alias("score"))
 

@@ -77,11 +77,14 @@ SQL_MENTION = """mention AS (
   JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def mention(t: Tables) -> DataFrame:
     """Line items as labelled strings: ``part, supplier, nation`` text with the supplier as label."""
     supplier = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     rows = (
-        t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        spread(t.lineitem.select(*LINE_COLUMNS), *LINE_COLUMNS).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     # line numbers repeat within an order, so part and supplier are part of the id
