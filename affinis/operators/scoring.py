@@ -39,9 +39,11 @@ def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", te
     Terms that every institution shares weigh nothing and are left out.
     """
     limit = max_term_institutions or MAX_TERM_INSTITUTIONS[model]
+    # training sets hold copies by design: each text is cut into terms once
+    texts = training.groupBy(F.col(id_col).alias("inst_id"), text_col).agg(F.count(F.lit(1)).alias("copies"))
     tf = (
-        text_terms(training.select(F.col(id_col).alias("inst_id"), text_col), model, text_col, "inst_id")
-        .groupBy("inst_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        text_terms(texts, model, text_col, "inst_id", "copies")
+        .groupBy("inst_id", "term").agg(F.sum("copies").alias("tf"))
     )
     total = training.agg(F.count_distinct(id_col).alias("n_inst"))  # one row
     df = (
