@@ -184,7 +184,7 @@ def _sent(groups: dict, floors: dict, blocks: int):
 
 
 def _solve(k: int):
-    def run(key: tuple, left, right):
+    def run(key, left, right):
         import numpy as np
         import pyarrow as pa
 

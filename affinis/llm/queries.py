@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc
+from affinis.llm import bpe, byte_repeats, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
 from affinis.llm.common import scratch_path, table
 
 #: The folder of the public tokenizers; a parameter of the environment.
@@ -42,6 +42,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeats.dedup_words(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_language, op3_knn, op4_mixing, op5_warc, op8_exact_dedup, op9_toxicity, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_language, op3_knn, op4_mixing, op5_warc, op6_word_repeats, op7_byte_repeats, op8_exact_dedup, op9_toxicity,
+        op10_simhash,
+    )
 }
 
 KNN_SQL = """
@@ -124,4 +136,26 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_knn": KNN_SQL, "op4_mixing": MIX_SQL, "op5_warc": WARC_SQL, "op8_exact_dedup": DEDUP_SQL}
+WORDS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM s
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM g
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE n > 1
+), gone AS (
+  SELECT doc_id, list(j) AS js FROM c GROUP BY doc_id
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d
+), kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.j) AS rest FROM flat f ANTI JOIN c ON f.doc_id = c.doc_id AND f.j = c.j GROUP BY f.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_word_repeats": WORDS_SQL, "op3_knn": KNN_SQL, "op4_mixing": MIX_SQL, "op5_warc": WARC_SQL, "op8_exact_dedup": DEDUP_SQL}
