@@ -15,18 +15,26 @@ INPUT_LENGTH = 128
 BATCH_ROWS = 512
 TRAIN_SHARD_ROWS = 500_000
 VAL_SHARD_ROWS = 60_000
+SHARD_DIGITS = 4
+
+# rows that one task numbers, about
+BUCKET_ROWS = 100_000
 
 
 def dense_index(df: DataFrame, key: list[str], within: list[str] | None = None, out: str = "idx",
-                seed: int = 1, digits: int = 3) -> DataFrame:
+                seed: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Gap-free 0-based row index in random order, per group of ``within`` columns.
 
-    ``key`` must identify a row. Rows fall into ``16**digits`` hash buckets of
-    equal size; only the bucket counts are summed up in one place, rows are
-    numbered inside their bucket. No task ever sees more than one bucket, and a
-    group holding most rows is spread like any other.
+    ``key`` must identify a row. Rows fall into hash buckets of equal size, so
+    many that a bucket has about ``bucket_rows`` rows (one count decides); only
+    the bucket counts are summed up in one place, rows are numbered inside their
+    bucket. A group holding most rows is spread like any other, and the index
+    does not depend on the number of buckets.
     """
     within = within or []
+    rows, digits = df.count(), 1
+    while 16**digits * bucket_rows < rows:
+        digits += 1
     hashed = df.withColumn("_h", draw_key(seed, *key)).withColumn("_b", F.substring("_h", 1, digits))
     counts = hashed.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,10 +49,10 @@ def dense_index(df: DataFrame, key: list[str], within: list[str] | None = None,
 
 
 def shard_rows(df: DataFrame, key: list[str], rows_per_shard: int, within: list[str] | None = None) -> DataFrame:
-    """Add the row index and the zero-padded name of its fixed-size shard."""
+    """Add the row index and the name of its fixed-size shard, padded to four digits and never cut."""
     indexed = dense_index(df, key, within)
     number = F.floor(F.col("idx") / rows_per_shard).cast("string")
-    return indexed.withColumn("shard", F.lpad(number, 4, "0"))
+    return indexed.withColumn("shard", F.lpad(number, F.greatest(F.length(number), F.lit(SHARD_DIGITS)), F.lit("0")))
 
 
 def full_batches(df: DataFrame, batch_rows: int = BATCH_ROWS, within: list[str] | None = None,
@@ -54,12 +62,12 @@ def full_batches(df: DataFrame, batch_rows: int = BATCH_ROWS, within: list[str]
     out = df.withColumn("batch", F.floor(F.col("idx") / batch_rows).cast("bigint"))
     if not drop_last:
         return out
-    keys = within or ["_all"]
     if not within:
-        df, out = df.withColumn("_all", F.lit(0)), out.withColumn("_all", F.lit(0))
+        total = df.agg(F.count(F.lit(1))).scalar()
+        return out.filter((F.col("batch") + 1) * batch_rows <= total)
     # one row per split: a handful, so it always fits a broadcast
-    totals = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")))
-    return out.join(totals, keys).filter((F.col("batch") + 1) * batch_rows <= F.col("_total")).drop("_total", "_all")
+    totals = F.broadcast(df.groupBy(*within).agg(F.count(F.lit(1)).alias("_total")))
+    return out.join(totals, within).filter((F.col("batch") + 1) * batch_rows <= F.col("_total")).drop("_total")
 
 
 def label_index(ids: DataFrame, id_col: str = "inst_id", out: str = "label") -> DataFrame:
@@ -100,7 +108,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, o
     tokens = word_tokens(F.col(text_col))
     if max_tokens:
         tokens = F.slice(tokens, 1, max_tokens)
-    exploded = df.select(id_col, F.posexplode_outer(tokens).alias("_pos", "token"))
+    # texts are dealt by id while each is one row; tokens stay in that task
+    texts = df.select(id_col, text_col).repartition(id_col)
+    exploded = texts.select(id_col, F.posexplode_outer(tokens).alias("_pos", "token"))
     ids = exploded.join(F.broadcast(vocab), "token", "left").select(
         id_col, F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(0)).alias("t"))).alias("p")
     )

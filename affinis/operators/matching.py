@@ -9,7 +9,7 @@ from affinis.functions.text import char_windows
 
 # Run length and step of each class of names, by falling name length. A class takes
 # names of at least ``length + step - 1`` characters; the last one takes all others.
-RUN_CLASSES = ((16, 16), (8, 8), (5, 4), (5, 1), (1, 1))
+RUN_CLASSES = ((16, 16), (8, 8), (5, 4), (5, 1), (4, 1), (3, 1), (2, 1), (1, 1))
 
 
 def contained_name(text: Column, names: Column) -> Column:
@@ -65,7 +65,7 @@ def join_contains(texts: DataFrame, names: DataFrame, text_id: str, text_col: st
     # the same filter everywhere lets Spark compute the runs of the texts once
     texts = texts.select(text_id, text_col).filter(F.col(text_id).isNotNull() & F.col(text_col).isNotNull())
     classed = names.filter(F.col(name_id).isNotNull()).select(name_id, name_col, _name_class(F.col(name_col)).alias("_class"))
-    # at most five rows: the classes that occur
+    # at most eight rows: the classes that occur
     present = sorted(r[0] for r in classed.select("_class").distinct().collect() if r[0] is not None)
     out = None
     for number in present:

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEY_LIMIT = 1000
 HOT_KEY_ROWS = 100_000
 SALTS = 32
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """The most frequent keys: at most ``HOT_KEY_LIMIT``, each with ``min_rows`` rows or more.
+    """All keys with ``min_rows`` rows or more; there is one for every ``min_rows`` rows at most.
 
-    Counting is pre-aggregated in the scan tasks, and the limit makes the result
-    small enough to broadcast whatever the size of ``df``.
+    Counting is pre-aggregated in the scan tasks. Spark broadcasts the result where
+    it finds it small enough.
     """
-    counts = df.groupBy(*keys).count().filter(F.col("count") >= min_rows)
-    return counts.orderBy(F.desc("count"), *keys).limit(HOT_KEY_LIMIT).select(*keys)
+    return df.groupBy(*keys).count().filter(F.col("count") >= min_rows).select(*keys)
 
 
 def _salt(spread: list[str], salts: int) -> Column:
@@ -38,7 +36,7 @@ def skew_join(
     Only the hot keys of the right side are copied, once per salt. ``spread``
     names columns that tell left rows of one key apart (default: all columns).
     """
-    hot = F.broadcast(hot_keys(left, keys, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, keys, min_rows).withColumn("_hot", F.lit(True))
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
@@ -75,13 +73,3 @@ def salted_lookup(
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_facts = facts.withColumn("_salt", _salt(spread or facts.columns, salts))
     return salted_facts.join(salted_dim, [key, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
-
-    Beyond that the table is returned as it is and Spark picks the join.
-    """
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)

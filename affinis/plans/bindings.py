@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.functions.text import ARMED_FORCES
 from affinis.sources.readers import read_table, spread
 
 
@@ -70,7 +71,7 @@ def institution(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------- mentions --
 SQL_MENTION = """mention AS (
-  SELECT ((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 1024 + l_suppkey % 1024 AS mention_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS mention_id, l_partkey % 16 AS kind,
          p_name || ' ' || p_type || ' ' || p_brand || ', ' || s_name || ', ' || n_name AS affiliation_string,
          l_suppkey AS inst_id
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -88,10 +89,8 @@ def mention(t: Tables) -> DataFrame:
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     # line numbers repeat within an order, so part and supplier are part of the id
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    key = (line * 32768 + F.col("l_partkey") % 32768) * 1024 + F.col("l_suppkey") % 1024
     return rows.select(
-        key.alias("mention_id"),
+        F.concat_ws("-", *LINE_COLUMNS).alias("mention_id"), (F.col("l_partkey") % 16).alias("kind"),
         F.concat(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.lit(", "), "s_name", F.lit(", "), "n_name")
         .alias("affiliation_string"),
         F.col("l_suppkey").alias("inst_id"),
@@ -119,8 +118,8 @@ def sql_clean(x: str, countries: bool = False, armed_forces: bool = True) -> str
         out = sql_drop_suffix(f"({out})")
     out = f"replace(replace({sql_fold(f'({out})')}, 'Univ.', 'University'), 'Lab.', 'Laboratory')"
     if armed_forces:
-        for kind in ("Army", "Navy", "Air Force"):
-            out = f"replace({out}, 'U.S. {kind}', 'United States {kind}')"
+        for short, full in ARMED_FORCES:
+            out = f"replace({out}, '{short}', '{full}')"
     return f"regexp_replace({out}, '[^0-9a-zA-Z]', '', 'g')"
 
 

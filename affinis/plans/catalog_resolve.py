@@ -82,34 +82,34 @@ def sql_countries(x: str) -> str:
 
 # --------------------------------------------- order texts, drawn scores --
 SQL_ORDERS = f"""{SQL_INST},
-line AS (SELECT l_orderkey AS text_id, l_suppkey AS inst_id, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2),
+line AS (SELECT DISTINCT l_orderkey AS text_id, l_suppkey AS inst_id FROM lineitem),
+offered AS (SELECT * FROM line UNION SELECT text_id, inst_id + CASE WHEN inst_id % 2 = 0 THEN 1 ELSE -1 END FROM line),
 texts0 AS (SELECT text_id, string_agg(
       CASE WHEN text_id % 7 = 0 THEN display_name ELSE display_name || ', ' || city || coalesce(', ' || country, '') END,
       '; ' ORDER BY inst_id)
     || CASE WHEN text_id % 7 = 0 THEN '' WHEN text_id % 5 = 0 THEN ', Natural Resource' WHEN text_id % 5 = 1 THEN ' University' ELSE '' END AS raw
-  FROM line JOIN inst0 USING (inst_id) WHERE line <= 2 GROUP BY text_id),
+  FROM line JOIN inst0 USING (inst_id) GROUP BY text_id),
 texts AS (SELECT text_id, raw, {sql_clean('raw')} AS clean, {sql_clean('raw')} AS clean_stripped, {sql_countries('raw')} AS countries
   FROM texts0),
 draws AS (SELECT text_id, CASE WHEN inst_id % 17 = 16 THEN -1 ELSE inst_id END AS inst_id,
     max({sql_draw_int(1, 'text_id', 'inst_id')} / 4294967296.0::DOUBLE) AS b0,
     max({sql_draw_int(2, 'text_id', 'inst_id')} / 4294967296.0::DOUBLE) AS l0
-  FROM line GROUP BY 1, 2),
+  FROM offered GROUP BY 1, 2),
 scored AS (SELECT text_id, inst_id, round(b0, 5) AS b,
     CASE WHEN text_id % 2 = 0 THEN round(round(b0, 5) - 0.00001, 5) ELSE round(l0, 5) END AS l FROM draws),
 score AS (
   SELECT text_id, 'basic' AS model, CAST(row_number() OVER (PARTITION BY text_id ORDER BY b DESC, inst_id) AS INTEGER) AS rank,
-    inst_id, b AS score FROM scored
+    inst_id, b AS score FROM scored QUALIFY rank <= 20
   UNION ALL
-  SELECT text_id, 'lang', CAST(row_number() OVER (PARTITION BY text_id ORDER BY l DESC, inst_id) AS INTEGER), inst_id, l FROM scored)"""
+  SELECT text_id, 'lang', CAST(row_number() OVER (PARTITION BY text_id ORDER BY l DESC, inst_id) AS INTEGER) AS rank, inst_id, l FROM scored QUALIFY rank <= 20)"""
 
 
 def order_lines(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("text_id"), F.col("l_suppkey").alias("inst_id")).agg(
-        F.min("l_linenumber").alias("line"))
+    return t.lineitem.select(F.col("l_orderkey").alias("text_id"), F.col("l_suppkey").alias("inst_id")).distinct()
 
 
 def order_texts(t: Tables) -> DataFrame:
-    """One text per order that names the suppliers of its first lines."""
+    """One text per order that names the suppliers of all its lines."""
     key = F.col("text_id")
     inst = rule_institutions(t).select("inst_id", "display_name", "city", "country")
     piece = F.when(key % 7 == 0, F.col("display_name")).otherwise(
@@ -117,7 +117,7 @@ def order_texts(t: Tables) -> DataFrame:
     tail = (
         F.when(key % 7 == 0, "").when(key % 5 == 0, ", Natural Resource").when(key % 5 == 1, " University").otherwise("")
     )
-    rows = order_lines(t).filter("line <= 2").join(inst, "inst_id").select("text_id", "inst_id", piece.alias("piece"))
+    rows = order_lines(t).join(inst, "inst_id").select("text_id", "inst_id", piece.alias("piece"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("inst_id", "piece"))), lambda x: x["piece"])
     texts = rows.groupBy("text_id").agg(pieces.alias("p"))
     raw = texts.select("text_id", F.concat(F.array_join("p", "; "), tail).alias("raw"))
@@ -125,9 +125,12 @@ def order_texts(t: Tables) -> DataFrame:
 
 
 def order_scores(t: Tables) -> DataFrame:
-    """Every supplier of an order as a candidate with a drawn score per scorer; every other text agrees."""
+    """Every supplier of an order, and its neighbour as a distractor, with a drawn score per scorer; every other text agrees."""
+    named = order_lines(t)
+    beside = F.when(F.col("inst_id") % 2 == 0, F.col("inst_id") + 1).otherwise(F.col("inst_id") - 1)
+    offered = named.union(named.select("text_id", beside.alias("inst_id"))).distinct()
     none = F.when(F.col("inst_id") % 17 == 16, F.lit(-1).cast("bigint")).otherwise(F.col("inst_id"))
-    drawn = order_lines(t).select(
+    drawn = offered.select(
         "text_id", none.alias("inst_id"), draw_unit(1, "text_id", "inst_id").alias("b0"),
         draw_unit(2, "text_id", "inst_id").alias("l0"))
     one = drawn.groupBy("text_id", "inst_id").agg(F.round(F.max("b0"), 5).alias("b"), F.round(F.max("l0"), 5).alias("l0"))
@@ -297,7 +300,7 @@ def score_external(t: Tables):
 
 # ========================================================== gate and rules ==
 SQL_GATE_MENTION = f"""{SQL_MENTION},
-gate_mention AS (SELECT mention_id, inst_id, CASE (mention_id >> 10) % 16
+gate_mention AS (SELECT mention_id, inst_id, CASE kind
     WHEN 0 THEN split_part(affiliation_string, ', ', 3) WHEN 1 THEN 'red bolt' WHEN 2 THEN 'Dep ' || split_part(affiliation_string, ', ', 1)
     WHEN 3 THEN 'ZHANG, ' || affiliation_string WHEN 4 THEN affiliation_string || ' et al ' WHEN 5 THEN 'LIU University, ' || affiliation_string
     WHEN 6 THEN NULL WHEN 7 THEN '- -' WHEN 8 THEN '中文大学' || inst_id WHEN 9 THEN 'Университет ' || inst_id
@@ -322,7 +325,7 @@ gated AS (SELECT *, CASE WHEN lang IN ('zh-cn', 'ru') THEN false WHEN length(cle
 
 def gate_mentions(t: Tables) -> DataFrame:
     """Mentions of which most kinds the gate knows occur."""
-    kind, text = F.shiftright("mention_id", 10) % 16, F.col("affiliation_string")
+    kind, text = F.col("kind"), F.col("affiliation_string")
     changed = (
         F.when(kind == 0, F.split(text, ", ")[2]).when(kind == 1, "red bolt")
         .when(kind == 2, F.concat(F.lit("Dep "), F.split(text, ", ")[0]))
@@ -435,8 +438,11 @@ def resolve_mentions(t: Tables, mentions: DataFrame) -> DataFrame:
         resolve.index_scorer(indexes), patterns(t), departments, places)
 
 
-@query(f"""WITH {SQL_RESOLVE} SELECT m.mention_id, m.affiliation_string, coalesce(predictions, '-1:0.000000:nothing') AS predictions
-FROM gate_mention m LEFT JOIN gated g ON g.raw = m.affiliation_string LEFT JOIN final f ON f.text_id = g.text_id""")
+SQL_RESOLVED = f"""WITH {SQL_RESOLVE} SELECT m.mention_id, m.affiliation_string, coalesce(predictions, '-1:0.000000:nothing') AS predictions
+FROM gate_mention m LEFT JOIN gated g ON g.raw = m.affiliation_string LEFT JOIN final f ON f.text_id = g.text_id"""
+
+
+@query(SQL_RESOLVED)
 def resolve_affiliations(t: Tables):
     out = resolve_mentions(t, gate_mentions(t))
     return out.select("mention_id", "affiliation_string", shown(F.col("predictions")).alias("predictions"))
@@ -450,7 +456,7 @@ preds_all AS (SELECT text_id, list(inst_id ORDER BY pos, inst_id) AS preds FROM
 preds_model AS (SELECT text_id, coalesce(list(inst_id ORDER BY pos, inst_id) FILTER (category <> 'string_match'), [-1]) AS preds FROM items GROUP BY 1),
 gold AS (SELECT text_id, CASE WHEN text_id % 9 = 0 THEN [-1] ELSE list(inst_id ORDER BY inst_id) END AS labels,
   CASE text_id % 3 WHEN 0 THEN 'gold_easy' WHEN 1 THEN 'gold_hard' ELSE 'gold_random' END AS dataset
-  FROM line WHERE line <= 2 GROUP BY text_id),
+  FROM line GROUP BY text_id),
 counts AS (SELECT v.variant, g.text_id, g.dataset,
   CASE WHEN labels[1] = -1 OR preds[1] = -1 THEN 0 ELSE len(list_filter(preds, lambda p: list_contains(labels, p))) END AS tp,
   CASE WHEN labels[1] = -1 AND preds[1] <> -1 THEN len(preds) WHEN labels[1] = -1 OR preds[1] = -1 THEN 0
@@ -466,7 +472,7 @@ def order_results(t: Tables) -> DataFrame:
     flagged = ensemble.flag_removals(ensemble.resolve_same_name(order_predictions(t)))
     results = ensemble.finalize_predictions(texts, flagged)
     key = F.col("text_id")
-    gold = order_lines(t).filter("line <= 2").groupBy("text_id").agg(F.array_sort(F.collect_list("inst_id")).alias("l"))
+    gold = order_lines(t).groupBy("text_id").agg(F.array_sort(F.collect_list("inst_id")).alias("l"))
     labels = F.when(key % 9 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col("l"))
     dataset = F.when(key % 3 == 0, "gold_easy").when(key % 3 == 1, "gold_hard").otherwise("gold_random")
     return gold.select("text_id", labels.alias("labels"), dataset.alias("dataset")).join(results, "text_id")
@@ -480,10 +486,10 @@ def split_predictions(t: Tables):
 
 
 @query("""SELECT l_orderkey AS row_id, string_agg(coalesce(i || ' - ' || s_name, '-1 - None'), '|' ORDER BY i, s_name) AS names FROM (
-  SELECT l_orderkey, l_suppkey AS i, s_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0) GROUP BY 1""")
+  SELECT l_orderkey, l_suppkey AS i, s_name FROM lineitem LEFT JOIN supplier ON s_suppkey + 3 = l_suppkey) GROUP BY 1""")
 def display_names(t: Tables):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("row_id")).agg(F.array_sort(F.collect_list("l_suppkey")).alias("ids"))
-    names = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("inst_id"), F.col("s_name").alias("display_name"))
+    names = t.supplier.select((F.col("s_suppkey") + 3).alias("inst_id"), F.col("s_name").alias("display_name"))
     return evaluate.display_names(rows, "ids", names, "row_id", "names").withColumn("names", listed("names"))
 
 
@@ -535,7 +541,7 @@ def scorer_preview(t: Tables):
 
 
 # ================================================================== stream ==
-@query(None)
+@query(SQL_RESOLVED)
 def stream_resolve(t: Tables):
     """Mentions as JSON files through the stream; the result equals the batch result."""
     root = scratch_path(t.spark, "stream")

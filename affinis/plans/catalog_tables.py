@@ -233,10 +233,10 @@ def admin_region(t: Tables):
 
 
 @query("""SELECT n_name, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS state
-FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'""")
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey + 1""")
 def final_region(t: Tables):
-    regions = t.region.filter("r_name <> 'ASIA'")
-    rows = t.nation.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    # the shifted key leaves nations without a region
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey") + 1, "left")
     state = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
     return rows.select("n_name", dims.final_region(state, F.col("r_name")).alias("state"))
 
@@ -247,11 +247,11 @@ def id_from_url(t: Tables):
 
 
 @query("""SELECT doc_id, label, lang AS iso639, count(*) AS n
-FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label FROM documents WHERE source IS NOT NULL)
+FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label FROM documents WHERE text IS NOT NULL)
 GROUP BY ALL""")
 def explode_labels(t: Tables):
     labels = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("label"), F.col("lang").alias("iso639")))
-    rows = t.wide_documents.filter("source is not null").select("doc_id", labels.alias("labels"))
+    rows = t.wide_documents.filter("text is not null").select("doc_id", labels.alias("labels"))
     return dims.explode_labels(rows, "doc_id").groupBy("doc_id", "label", "iso639").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -266,11 +266,10 @@ def explode_strings(t: Tables):
     return exploded.select("s_suppkey", F.col("pair")[0].alias("original_affiliation"))
 
 
-@query("""SELECT c_custkey, o_orderkey FROM customer
-JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""")
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0")
 def drop_null_rows(t: Tables):
-    urgent = t.orders.filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
-    rows = t.customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    key = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey"))
+    rows = t.customer.join(t.orders, key == F.col("o_custkey"), "left")
     return rel.drop_null_rows(rows.select("c_custkey", "o_orderkey"), ["o_orderkey"])
 
 
@@ -285,10 +284,10 @@ def relabel_values(t: Tables):
 
 @query("""SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN '-1' ELSE CAST(c_custkey AS VARCHAR) END AS ids,
   TRY_CAST(o_orderpriority AS BIGINT) AS priority_id
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'MACHINERY'""")
+FROM orders LEFT JOIN customer ON c_custkey = CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END""")
 def cast_fill(t: Tables):
-    some = t.customer.filter("c_mktsegment = 'MACHINERY'")
-    rows = t.orders.join(some, F.col("o_custkey") == F.col("c_custkey"), "left")
+    key = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey"))
+    rows = t.orders.join(t.customer, key == F.col("c_custkey"), "left")
     ids = F.when(F.col("c_custkey").isNotNull(), F.array("c_custkey"))
     return rows.select(
         "o_orderkey", listed(rel.fill_missing_ids(ids)).alias("ids"),
@@ -311,22 +310,22 @@ def join_registry(t: Tables):
     return rel.join_registry(registry, t.nation.select(F.col("n_nationkey").alias("nation_id"), "n_name"), "nation_id")
 
 
-@query("""SELECT c_custkey AS id, c_name, o_orderkey FROM customer
-LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '2-HIGH') ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey + 7 AS id, c_name, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey + 7""")
 def join_left_names(t: Tables):
-    orders = t.orders.filter("o_orderstatus = 'P' and o_orderpriority = '2-HIGH'")
     return rel.join_left_names(
-        t.customer.select(F.col("c_custkey").alias("id"), "c_name"),
-        orders.select(F.col("o_custkey").alias("id"), "o_orderkey"), "id",
+        t.customer.select((F.col("c_custkey") + 7).alias("id"), "c_name"),
+        t.orders.select(F.col("o_custkey").alias("id"), "o_orderkey"), "id",
     )
 
 
-@query("""WITH u AS (SELECT text, min(doc_id) AS first_id FROM documents WHERE lang <> 'de' GROUP BY text)
+@query("""WITH u AS (SELECT CASE WHEN lang = 'de' THEN text || ' ' ELSE text END AS text, min(doc_id) AS first_id FROM documents GROUP BY 1)
 SELECT doc_id, md5(d.text) AS text_key, coalesce(CAST(first_id AS VARCHAR), '-1') AS ids
 FROM documents d LEFT JOIN u ON d.text = u.text""")
 def join_back_predictions(t: Tables):
     docs = t.documents.select("doc_id", "text")
-    unique = rel.dedupe_pick(t.documents.filter("lang <> 'de'").select("text", "doc_id"), ["text"], "doc_id")
+    # texts of one language are changed, so that they find no prediction
+    changed = F.when(F.col("lang") == "de", F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    unique = rel.dedupe_pick(t.documents.select(changed.alias("text"), "doc_id"), ["text"], "doc_id")
     preds = unique.select("text", F.array("doc_id").alias("ids"))
     out = rel.join_back_predictions(docs, preds, "text", "ids", "doc_id")
     return out.select("doc_id", F.md5("text").alias("text_key"), listed("ids").alias("ids"))
@@ -338,10 +337,10 @@ def join_natural_gold(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey AS inst_id, s_name AS display_name FROM lineitem
-LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0""")
+LEFT JOIN supplier ON l_suppkey = s_suppkey + 3""")
 def lookup_institution(t: Tables):
     facts = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("inst_id"))
-    inst = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("inst_id"), F.col("s_name").alias("display_name"))
+    inst = t.supplier.select((F.col("s_suppkey") + 3).alias("inst_id"), F.col("s_name").alias("display_name"))
     return rel.lookup_institution(facts, inst, spread=["l_orderkey", "l_linenumber"])
 
 
@@ -372,11 +371,11 @@ def remap_merged(t: Tables):
 
 @query("""SELECT CAST(r_regionkey AS VARCHAR) AS registry_id,
   coalesce(string_agg(DISTINCT s_name, '|' ORDER BY s_name), '') AS extra_names
-FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0
-LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
+LEFT JOIN supplier ON s_nationkey = CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END GROUP BY 1""")
 def lookup_successor_names(t: Tables):
-    successors = t.nation.filter("n_nationkey % 2 = 0").select(
-        F.col("n_regionkey").cast("string").alias("registry_id"), F.col("n_nationkey").alias("old_id"))
+    old = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey"))
+    successors = t.nation.select(F.col("n_regionkey").cast("string").alias("registry_id"), old.alias("old_id"))
     names = t.supplier.select(F.col("s_nationkey").alias("old_id"), F.col("s_name").alias("name"))
     ids = t.region.select(F.col("r_regionkey").cast("string").alias("registry_id"))
     return rel.lookup_successor_names(ids, successors, names).withColumn("extra_names", listed("extra_names"))
@@ -524,7 +523,7 @@ def window_name_count(t: Tables):
 
 
 @query(f"""WITH r AS (SELECT {', '.join(LINE_KEY)}, row_number() OVER (ORDER BY {sql_draw(1, *LINE_KEY)}, {', '.join(LINE_KEY)}) - 1 AS idx
-FROM lineitem) SELECT *, lpad(CAST(idx // 1000 AS VARCHAR), 4, '0') AS shard FROM r""")
+FROM lineitem) SELECT *, lpad(CAST(idx // 1000 AS VARCHAR), greatest(length(CAST(idx // 1000 AS VARCHAR)), 4)::INT, '0') AS shard FROM r""")
 def shard_index(t: Tables):
     return features.shard_rows(t.lineitem.select(*LINE_KEY), LINE_KEY, 1000)
 

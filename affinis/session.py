@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def local_session(cpus: str | int = "*", app: str = "affinis", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and recorded in the session, so later calls share it.
+    Where that is unset on a cluster, this is an error. Only a local session, whose
+    executor is the driver, gets a temporary folder, recorded in the session so
+    that later calls share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("affinis.scratch.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         base = tempfile.mkdtemp(prefix="affinis-")
         spark.conf.set("affinis.scratch.dir", base)
     return base.rstrip("/")

@@ -16,13 +16,14 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of fewer files than cores before costly work on each row.
+    """Spread a table that is read in fewer tasks than there are cores before costly work on each row.
 
-    One file may be a single row group, which only one task can read. A large
-    table has many files and is returned as it is.
+    One file may be a single row group, which only one task can read. A table
+    that is cut into more tasks, because it has many files or large ones, is
+    returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 
