@@ -6,6 +6,8 @@ vector per institution) and scores a text by the weights of its distinct terms.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from affinis.fixed_values import TOP_CANDIDATES
 from affinis.functions.text import index_ngrams, index_words
 from affinis.operators.skew import salted_lookup
+from affinis.session import materialize
 
 MODEL_OUTPUT = T.StructType([
     T.StructField("labels", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType())),
@@ -20,73 +23,149 @@ MODEL_OUTPUT = T.StructType([
 TERMS = {"basic": index_words, "lang": index_ngrams}
 DECIMALS = 6
 SHARPNESS = 20.0
-# Feature selection of the models, as a vocabulary size is: a term used for more
-# institutions than this does not tell them apart and is no feature.
-MAX_TERM_INSTITUTIONS = {"basic": 1000, "lang": 50}
-INDEX_SALTS = 8
-BROADCAST_INDEX_ROWS = 1_000_000  # about 100 MB in memory
+# Index entries of a block, distinct texts of a part, and texts scored at a time.
+INDEX_BLOCK_ROWS = 1_000_000
+TEXT_PART_ROWS = 20_000
+SCORE_TEXTS = 256
 
 
 def text_terms(df: DataFrame, model: str, text_col: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(TERMS[model](F.col(text_col))).alias("term"))
 
 
-def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", text_col: str = "text",
-                    max_term_institutions: int | None = None) -> DataFrame:
+def fit_score_index(training: DataFrame, model: str, id_col: str = "inst_id", text_col: str = "text") -> DataFrame:
     """``term, inst_id, weight, idf, df`` learned from labelled texts.
 
     ``weight`` is ``(1 + ln tf) * ln(N / df)`` scaled to length 1 per institution.
-    Terms that every institution shares weigh nothing and are left out.
+    Terms that every institution shares weigh nothing and are left out; all
+    others are kept, however many institutions they have.
     """
-    limit = max_term_institutions or MAX_TERM_INSTITUTIONS[model]
     # training sets hold copies by design: each text is cut into terms once
     texts = training.groupBy(F.col(id_col).alias("inst_id"), text_col).agg(F.count(F.lit(1)).alias("copies"))
-    tf = (
-        text_terms(texts, model, text_col, "inst_id", "copies")
-        .groupBy("inst_id", "term").agg(F.sum("copies").alias("tf"))
+    tf = materialize(
+        text_terms(texts, model, text_col, "inst_id", "copies").groupBy("inst_id", "term").agg(F.sum("copies").alias("tf")), "tf"
     )
-    total = training.agg(F.count_distinct(id_col).alias("n_inst"))  # one row
-    df = (
-        tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-        .filter((F.col("df") < F.col("n_inst")) & (F.col("df") <= limit))
-        .select("term", "df", F.round(F.log(F.col("n_inst") / F.col("df")), DECIMALS).alias("idf"))
+    institutions = training.agg(F.count_distinct(id_col)).scalar()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") < institutions).select(
+        "term", "df", F.round(F.log(institutions / F.col("df")), DECIMALS).alias("idf")
     )
     # A shared term has one row per institution in tf, so frequent terms are split.
-    weighted = salted_lookup(tf, df, "term", "inner", spread=["inst_id"]).withColumn(
-        "raw", (1 + F.log("tf")) * F.col("idf")
+    weighted = materialize(
+        salted_lookup(tf, df, "term", "inner", spread=["inst_id"]).withColumn("raw", (1 + F.log("tf")) * F.col("idf")), "weighted"
     )
     norms = weighted.groupBy("inst_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, "inst_id").select(
+    return salted_lookup(weighted, norms, "inst_id", "inner", spread=["term"]).select(
         "term", "inst_id", F.round(F.col("raw") / F.col("norm"), DECIMALS).alias("weight"), "idf", "df"
     )
 
 
-def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Cosine of each text with every institution it shares a term with.
-
-    A term has at most ``MAX_TERM_INSTITUTIONS`` index rows, so a text meets a
-    bounded number of institutions. An index of checked small size is broadcast:
-    texts are partitioned by id while they are still one row each, and terms,
-    sums, text length and ranking stay in that partition. A larger index is
-    joined by term, frequent words split over tasks by salt, and the hits are
-    partitioned by text once.
+def _pack(key, table):
+    """A block of the index as one value, in order of the term."""
+    sink = pa.BufferOutputStream()
+    block = table.drop_columns(["block"]).combine_chunks().sort_by([("term", "ascending"), ("inst_id", "ascending")])
+    with pa.ipc.new_stream(sink, block.schema) as out:
+        out.write_table(block)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+class _Block:
+    """One block of the index: weights of institutions by term, dense for terms that many of them have."""
+
+    def __init__(self, packed: bytes) -> None:
+        table = pa.ipc.open_stream(packed).read_all()
+        term, inst, weight, idf, df = (table.column(c).to_numpy() for c in ("term", "inst_id", "weight", "idf", "df"))
+        self.institutions, self.at = np.unique(inst, return_inverse=True)
+        self.terms, self.start, self.size = np.unique(term, return_index=True, return_counts=True)
+        self.idf, self.value = idf[self.start], weight * idf
+        self.share = self.idf**2 * self.size / df[self.start]
+        self.longest = float(np.abs(self.idf).max(initial=0))
+        many = self.size * 4 >= len(self.institutions)  # so the dense part has at most four times the entries
+        self.dense_row = np.where(many, np.cumsum(many) - 1, -1)
+        self.dense = np.zeros((int(many.sum()), len(self.institutions)))
+        entry_term = np.repeat(np.arange(len(self.terms)), self.size)
+        kept = many[entry_term]
+        self.dense[self.dense_row[entry_term[kept]], self.at[kept]] = self.value[kept]
+
+    def scores(self, text: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of ``weight * idf`` of ``n`` texts with all institutions, and each text's share of its squared length."""
+        place = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        known = self.terms[place] == term
+        text, place = text[known], place[known]
+        out = np.zeros((n, len(self.institutions)))
+        dense = self.dense_row[place] >= 0
+        used, back = np.unique(self.dense_row[place[dense]], return_inverse=True)
+        if len(used):
+            has = np.zeros((n, len(used)))
+            has[text[dense], back] = 1
+            out = has @ self.dense[used]
+        rows, sparse = text[~dense], place[~dense]
+        sizes = self.size[sparse]
+        entry = np.repeat(self.start[sparse] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cell = np.repeat(rows, sizes) * len(self.institutions) + self.at[entry]
+        out += np.bincount(cell, self.value[entry], n * len(self.institutions)).reshape(n, -1)
+        return out, np.bincount(text, self.share[place], n)
+
+
+def _best(k: int, id_type: pa.DataType):
+    """The institutions of one block that can be among a text's ``k`` best, with what their scores are made of."""
+
+    def run(key, texts, packed):
+        columns: list[list] = [[], [], [], []]
+        if packed.num_rows and texts.num_rows:
+            block = _Block(packed.column("packed")[0].as_py())
+            ids, lists = texts.column("text_id").combine_chunks(), texts.column("terms").combine_chunks()
+            sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            for low in range(0, len(ids), SCORE_TEXTS):
+                part = sizes[low : low + SCORE_TEXTS]
+                n = len(part)
+                sums, length = block.scores(np.repeat(np.arange(n), part), flat[ends[low] - sizes[low] : ends[low + n - 1]], n)
+                # scores are rounded after division by the text's length: keep what rounding could lift
+                slack = 2 * 10.0**-DECIMALS * block.longest * np.sqrt(part)
+                if sums.shape[1] > k:
+                    floor = np.partition(sums, sums.shape[1] - k, axis=1)[:, sums.shape[1] - k] - slack
+                else:
+                    floor = np.zeros(n)
+                row, col = np.nonzero((sums > 0) & (sums >= floor[:, None]))
+                first = np.append(True, row[1:] != row[:-1]) if len(row) else np.empty(0, bool)
+                columns[0].append(ids.take(pa.array(row + low)))
+                columns[1].append(pa.array(block.institutions[col]))
+                columns[2].append(pa.array(sums[row, col]))
+                columns[3].append(pa.array(np.where(first, length[row], 0.0)))
+        types = [id_type, pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.chunked_array(c, t) for c, t in zip(columns, types)], ["text_id", "inst_id", "p", "q"])
+
+    return run
+
+
+def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str = "text", k: int = TOP_CANDIDATES) -> DataFrame:
+    """``text_id, inst_id, score``: the cosine of each text with the institutions that can be among its ``k`` best.
+
+    The index is cut into blocks of institutions, and the texts, which are
+    distinct, into parts. Every part meets every block, as rows of term hashes
+    against a packed block: texts travel once per block, and of all sums in a block
+    only those that can be among the best leave the task. Both sides of a task are
+    bounded by ``INDEX_BLOCK_ROWS`` and ``TEXT_PART_ROWS``, and no term is left out.
     """
-    texts = texts.select("text_id", text_col)
-    small = index.limit(BROADCAST_INDEX_ROWS + 1).count() <= BROADCAST_INDEX_ROWS
-    if small:
-        terms = text_terms(texts.repartition("text_id"), model, text_col, "text_id")
-        joined = terms.join(F.broadcast(index), "term")
-    else:
-        terms = text_terms(texts, model, text_col, "text_id")
-        joined = salted_lookup(terms, index, "term", "inner", ["text_id"], INDEX_SALTS).repartition("text_id")
-    hits = joined.select(
-        "text_id", "inst_id", (F.col("weight") * F.col("idf")).alias("p"),
-        (F.col("idf") * F.col("idf") / F.col("df")).alias("q"),
-    )
-    sums = hits.groupBy("text_id", "inst_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    blocks = max(1, -(-index.count() // INDEX_BLOCK_ROWS))
+    parts = max(1, -(-texts.count() // TEXT_PART_ROWS))
+    packed = index.select(
+        F.pmod(F.xxhash64("inst_id"), F.lit(blocks)).cast("int").alias("block"), F.xxhash64("term").alias("term"),
+        F.col("inst_id").cast("bigint").alias("inst_id"), "weight", "idf", "df",
+    ).groupBy("block").applyInArrow(_pack, "block int, packed binary")
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = texts.select(
+        "text_id", F.transform(TERMS[model](F.col(text_col)), lambda term: F.xxhash64(term)).alias("terms"),
+        F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part"),
+    ).filter(F.size("terms") > 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    id_field = texts.schema["text_id"]
+    schema = T.StructType([T.StructField("text_id", id_field.dataType), T.StructField("inst_id", T.LongType()),
+                           T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+    id_type = pa.string() if isinstance(id_field.dataType, T.StringType) else pa.int64()
+    hits = asked.groupBy("block", "part").cogroup(packed.groupBy("block", "part")).applyInArrow(_best(k, id_type), schema)
     length = F.sqrt(F.sum("q").over(Window.partitionBy("text_id")))
-    return sums.select("text_id", "inst_id", F.round(F.col("p") / length, DECIMALS).alias("score"))
+    scored = hits.select("text_id", "inst_id", F.round(F.col("p") / length, DECIMALS).alias("score"))
+    return topk_candidates(scored, k).drop("rank")
 
 
 def soft_max(scores: DataFrame, sharpness: float = 1.0, key: str = "text_id", col: str = "score") -> DataFrame:
@@ -106,16 +185,13 @@ def score_texts(texts: DataFrame, index: DataFrame, model: str, text_col: str =
                 k: int = TOP_CANDIDATES, sharpness: float | None = SHARPNESS) -> DataFrame:
     """``text_id, model, rank, inst_id, score`` for the top ``k``.
 
-    Ranks follow the cosine; with ``sharpness`` the score is its soft-max share.
+    Ranks follow the cosine; with ``sharpness`` the score is its soft-max share
+    among the ``k``.
     """
-    scores = term_scores(texts, index, model, text_col)
+    scores = topk_candidates(term_scores(texts, index, model, text_col, k), k)
     if sharpness:
-        scores = soft_max(scores.withColumn("_cos", F.col("score")), sharpness)
-        w = Window.partitionBy("text_id").orderBy(F.desc("_cos"), "inst_id")
-        top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    else:
-        top = topk_candidates(scores, k)
-    return top.select("text_id", F.lit(model).alias("model"), "rank", "inst_id", "score")
+        scores = soft_max(scores, sharpness)
+    return scores.select("text_id", F.lit(model).alias("model"), "rank", "inst_id", "score")
 
 
 def score_external(texts: DataFrame, predict: Column, model: str, k: int = TOP_CANDIDATES) -> DataFrame:

@@ -211,15 +211,14 @@ def picked_orders(t: Tables) -> DataFrame:
 
 
 # ================================================================= scorers ==
-def sql_index(model: str, corpus: str = "mention", max_inst: int | None = None) -> str:
+def sql_index(model: str, corpus: str = "mention") -> str:
     terms = sql_words if model == "basic" else sql_ngrams
-    max_inst = max_inst or scoring.MAX_TERM_INSTITUTIONS[model]
     m = model
     return f"""{m}_tf AS (SELECT inst_id, term, count(*) AS tf FROM
     (SELECT inst_id, unnest({terms('affiliation_string')}) AS term FROM {corpus}) GROUP BY 1, 2),
 {m}_n AS (SELECT count(DISTINCT inst_id) AS n FROM {corpus}),
 {m}_df AS (SELECT term, count(*) AS df, round(ln((SELECT n FROM {m}_n)::DOUBLE / count(*)), 6) AS idf FROM {m}_tf GROUP BY 1
-  HAVING count(*) < (SELECT n FROM {m}_n) AND count(*) <= {max_inst}),
+  HAVING count(*) < (SELECT n FROM {m}_n)),
 {m}_w AS (SELECT inst_id, term, df, idf, (1 + ln(tf)) * idf AS raw FROM {m}_tf JOIN {m}_df USING (term)),
 {m}_index AS (SELECT term, inst_id, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY inst_id)), 6) AS weight, idf, df FROM {m}_w)"""
 
@@ -235,9 +234,10 @@ def sql_cosine(model: str, texts: str) -> str:
 
 def sql_shares(model: str) -> str:
     m = model
-    return f"""{m}_e AS (SELECT *, exp(20.0::DOUBLE * (cos - max(cos) OVER (PARTITION BY text_id))) AS e FROM {m}_cos),
-{m}_score AS (SELECT text_id, '{m}' AS model, CAST(row_number() OVER (PARTITION BY text_id ORDER BY cos DESC, inst_id) AS INTEGER) AS rank,
-  inst_id, round(e / sum(e) OVER (PARTITION BY text_id), 6) AS score FROM {m}_e QUALIFY rank <= 20)"""
+    return f"""{m}_top AS (SELECT *, CAST(row_number() OVER (PARTITION BY text_id ORDER BY cos DESC, inst_id) AS INTEGER) AS rank
+  FROM {m}_cos QUALIFY rank <= 20),
+{m}_e AS (SELECT *, exp(20.0::DOUBLE * (cos - max(cos) OVER (PARTITION BY text_id))) AS e FROM {m}_top),
+{m}_score AS (SELECT text_id, '{m}' AS model, rank, inst_id, round(e / sum(e) OVER (PARTITION BY text_id), 6) AS score FROM {m}_e)"""
 
 
 SQL_SUPPLIER_TEXT = """texts AS (SELECT min(mention_id) AS text_id, affiliation_string AS txt FROM mention GROUP BY 2)"""
