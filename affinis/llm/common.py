@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.session import materialize, scratch_path
 
-__all__ = ["WORD", "WHITE_SPACE", "held_out", "materialize", "scratch_path", "table", "texts_of", "blocks_of"]
+__all__ = ["WORD", "WHITE_SPACE", "held_out", "least_hashed", "materialize", "scratch_path", "table", "texts_of", "blocks_of"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def least_hashed(df: DataFrame, label: str, n: int) -> DataFrame:
+    """Rows of the ``n`` least hashes of doc_id for each label, with their ``place``.
+
+    The counts of the labels tell how small a hash must be to have a chance; only such rows,
+    about half as many again as are wanted, meet in one task per label.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_of"))
+    near = df.withColumn("_draw", draw).join(counts, label).where(F.col("_draw") <= (1.5 * n + 100) * 2.0**63 / F.col("_of"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_draw", "doc_id", *[c for c in df.columns if c not in ("doc_id", label)]))
+    return near.withColumn("place", place).where(F.col("place") <= n).drop("_draw", "_of")
+
+
 def texts_of(column) -> list[bytes]:
     """An Arrow text column as UTF-8 bytes; null is empty."""
     import pyarrow as pa

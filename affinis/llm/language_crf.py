@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from affinis.llm.common import blocks_of, held_out, materialize, texts_of
+from affinis.llm.common import blocks_of, held_out, least_hashed, materialize, texts_of
 from affinis.llm.hashing import BYTE_VALUES, LETTERS, Rolling, joined, runs
 
 #: The most documents of each language that the model is fitted on, and bytes of text of them all.
@@ -179,9 +179,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
     known = docs.select("doc_id", "lang", F.octet_length("text").alias("n")).where(
         F.col("lang").isNotNull() & (F.col("n") > 0) & ~held_out(F.col("doc_id"))
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n")]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    least = materialize(known.withColumn("place", place).where(F.col("place") <= sample), "language-sample")
+    least = materialize(least_hashed(known, "lang", sample), "language-sample")
     total = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place", "lang"))
     chosen = least.withColumn("total", total).where((F.col("total") <= sample_bytes) | (F.col("place") == 1)).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).where("text is not null").orderBy("doc_id", "lang", "text").collect()

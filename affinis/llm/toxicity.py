@@ -20,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from affinis.llm.common import blocks_of, held_out, materialize, texts_of
+from affinis.llm.common import blocks_of, held_out, least_hashed, materialize, texts_of
 from affinis.llm.hashing import ALNUM, BYTE_VALUES, Rolling, joined, runs
 
 #: The most labelled rows of each label that the model is fitted on.
@@ -98,7 +98,7 @@ class Machine:
             total += 0.5 * (np.bincount(text, v, n) ** 2 - np.bincount(text, v * v, n))
         return total
 
-    def fit(self, n: int, text: np.ndarray, place: np.ndarray, label: np.ndarray, rounds: int = 30, batch: int = 256, rate: float = 0.1, decay: float = 1e-4) -> None:
+    def fit(self, n: int, text: np.ndarray, place: np.ndarray, label: np.ndarray, rounds: int = 30, batch: int = 256, rate: float = 0.1, decay: float = 1e-5) -> None:
         order = np.random.default_rng(11)
         starts = np.searchsorted(text, np.arange(n + 1))
         sums = [1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)]
@@ -168,8 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     machine.bias = float(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9)))
     if not 0 < share < 1:
         return np.empty(0, np.uint64), machine
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", "toxic")
+    chosen = least_hashed(marked, "toxic", sample).select("doc_id", "toxic")
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
     n, n_ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_ones < n:
