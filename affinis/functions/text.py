@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 MULTI_LETTER_FOLDS = {
     "ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th",
     "\u2026": "...", "\u2014": "--", "\u2015": "--",
+    "¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3",
+    "№": "No", "™": "tm", "℠": "sm", "℃": "C", "℡": "TEL",
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
 }
 SINGLE_LETTER_FOLDS = {
     "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l",
     "Ħ": "H", "ħ": "h", "ı": "i", "Ŧ": "T", "ŧ": "t",
-    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-",
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u2044": "/",
     "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"',
     "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
 }
@@ -57,6 +60,16 @@ def _latin_folds() -> dict[str, str]:
     return folds | SINGLE_LETTER_FOLDS
 
 
+def _compatible_folds() -> dict[str, str]:
+    """Full-width, raised, lowered, circled and letter-like forms of one ASCII character."""
+    folds = {}
+    for code in [*range(0x2070, 0x20A0), *range(0x2100, 0x2150), *range(0x2460, 0x24F0), *range(0xFF01, 0xFF5F)]:
+        base = unicodedata.normalize("NFKD", chr(code))
+        if len(base) == 1 and base.isascii():
+            folds[chr(code)] = base
+    return folds
+
+
 def _script_folds() -> dict[str, str]:
     """Greek and Cyrillic letters in both cases, with and without accents."""
     base = GREEK_FOLDS | CYRILLIC_FOLDS
@@ -81,7 +94,7 @@ def ascii_fold(c: Column) -> Column:
 
     Texts that are plain ASCII already skip every table.
     """
-    table = MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
+    table = _compatible_folds() | MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
     folded = F.regexp_replace(_replace_all(c, table), NON_ASCII, "")
     return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 

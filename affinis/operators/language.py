@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from affinis.functions.text import NON_ASCII, char_windows
 
-PROFILE_SIZE = 300
+# A trigram of a text counts for this share of its rank in a language's profile.
+RANK_WEIGHT = 1_000_000
 
 # --- fixed values: scripts that decide the language, and letters that split a script ---
 SCRIPT_LANGUAGES = [("Hangul", "ko"), ("Han", "zh-cn"), ("Cyrillic", "ru"), ("Arabic", "ar")]
@@ -41,35 +42,34 @@ def trigrams(c: Column) -> Column:
     return char_windows(F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")), 3)
 
 
-def fit_language_profiles(df: DataFrame, text_col: str, lang_col: str, size: int = PROFILE_SIZE) -> DataFrame:
-    """The ``size`` most frequent trigrams of each language with their rank.
+def fit_language_profiles(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """All trigrams of each language with their rank by frequency.
 
     Counts are combined map-side; the ranking sees distinct trigrams only.
     """
     grams = df.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size)
-    return ranked.select("lang", "gram", "rank")
+    return counts.withColumn("rank", F.row_number().over(w)).select("lang", "gram", "rank")
 
 
 def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFrame | None = None,
-                    default: str = "en", size: int = PROFILE_SIZE) -> DataFrame:
+                    default: str = "en") -> DataFrame:
     """``id, lang`` per row: script first, then the profile sharing most weight, then ``default``.
 
-    A text scores ``size + 1 - rank`` for each distinct profile trigram in it.
-    Pass profiles as a stored table (``size`` rows per language): Spark sees how
-    small the files are and broadcasts them, so texts are matched where they are
-    and only per-language sums are shuffled.
+    A text scores ``RANK_WEIGHT / rank``, in whole numbers, for each distinct
+    trigram in it that a language has. Pass profiles as a stored table: where Spark
+    finds it small enough to broadcast, a text's trigrams stay in the task that
+    its id is dealt to while it is one row.
     """
-    scripted = df.select(id_col, text_col, script_language(F.col(text_col)).alias("_script"))
+    scripted = df.select(id_col, text_col).repartition(id_col).select(id_col, text_col, script_language(F.col(text_col)).alias("_script"))
     if profiles is None:
         return scripted.select(id_col, F.coalesce("_script", F.lit(default)).alias("lang"))
     open_text = F.when(F.col("_script").isNull(), F.array_distinct(trigrams(F.col(text_col))))
     grams = scripted.select(id_col, "_script", F.explode_outer(open_text).alias("gram"))
     hits = grams.join(profiles, "gram", "left")
     sums = hits.groupBy(id_col, "lang").agg(
-        F.first("_script").alias("_script"), F.sum(F.lit(size + 1) - F.col("rank")).alias("s")
+        F.first("_script").alias("_script"), F.sum(F.expr(f"{RANK_WEIGHT} div rank")).alias("s")
     )
     best = sums.groupBy(id_col).agg(
         F.first("_script").alias("_script"),

@@ -31,21 +31,25 @@ def distinct_texts(mentions: DataFrame, drop_short: bool = False) -> DataFrame:
     return texts.filter(F.length("raw") > 2)
 
 
-def describe_texts(texts: DataFrame, patterns: Mapping[str, list[str]], profiles: DataFrame | None = None) -> DataFrame:
-    """Add language, countries, number of comma parts and cleaned forms."""
+def describe_texts(texts: DataFrame, patterns: Mapping[str, list[str]], profiles: DataFrame | None = None,
+                   country_regex: bool = False) -> DataFrame:
+    """Add language, countries, number of comma parts and cleaned forms.
+
+    ``country_regex`` takes the patterns as regular expressions.
+    """
     flat = sorted({p for terms in patterns.values() for p in terms})
     out = with_clean_text(texts, "raw", "clean", flat)
     out = with_clean_text(out.withColumn("_stripped", strip(F.col("raw"))), "_stripped", "clean_stripped", flat)
     out = out.drop("_stripped").withColumn("n_parts", comma_parts(F.col("raw")))
-    out = out.withColumn("countries", countries_in_text(F.col("raw"), patterns))
+    out = out.withColumn("countries", countries_in_text(F.col("raw"), patterns, country_regex))
     if profiles is None:
         return out.withColumn("lang", F.coalesce(script_language(F.col("raw")), F.lit("en")))
     return out.join(detect_language(texts, "text_id", "raw", profiles), "text_id")
 
 
 def gated_texts(mentions: DataFrame, patterns: Mapping[str, list[str]], departments: DataFrame, places: DataFrame,
-                profiles: DataFrame | None = None, drop_short: bool = False) -> DataFrame:
-    texts = describe_texts(distinct_texts(mentions, drop_short), patterns, profiles)
+                profiles: DataFrame | None = None, drop_short: bool = False, country_regex: bool = False) -> DataFrame:
+    texts = describe_texts(distinct_texts(mentions, drop_short), patterns, profiles, country_regex)
     return initial_gate(texts, departments, places)
 
 
@@ -74,6 +78,7 @@ def resolve_affiliations(
     lang_thresh: float = fixed.THRESHOLD,
     basic_thresh: float = fixed.THRESHOLD,
     drop_short: bool = False,
+    country_regex: bool = False,
     stage: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
     """``mention_id, affiliation_string, predictions`` for every mention.
@@ -83,7 +88,7 @@ def resolve_affiliations(
     ``drop_short`` removes strings of up to two characters from the output and
     reads a missing string as the word ``None``; by default both stay with ``-1``.
     """
-    texts = stage(gated_texts(mentions, patterns, departments, places, profiles, drop_short), "texts")
+    texts = stage(gated_texts(mentions, patterns, departments, places, profiles, drop_short, country_regex), "texts")
     passed = texts.filter("gate")
     scores = stage(scorer(passed.select("text_id", ascii_fold(F.col("raw")).alias("text"))), "scores")
     flat = sorted({p for terms in patterns.values() for p in terms})

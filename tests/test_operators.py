@@ -1,6 +1,9 @@
 import itertools
+import math
 import random
+from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,81 +81,81 @@ def test_join_contains_candidates(spark):
     assert rows(matching.join_contains_candidates(c, t, n)) == [(1, 10, "UniversityA")]
 
 
-def test_small_and_large_index_agree(spark, monkeypatch):
-    train = spark.createDataFrame(
-        [(i % 5, f"institute {i % 5} of city{i % 3} word{i}") for i in range(60)], "inst_id bigint, text string")
-    texts = spark.createDataFrame([(i, f"institute {i % 5} city{i % 3}") for i in range(20)], "text_id bigint, text string")
+def plain_scores(train, texts, terms_of, k=20):
+    """Cosines of tf-idf vectors over all pairs."""
+    tf, n = Counter(), len({i for i, _ in train})
+    for i, t in train:
+        tf.update((i, w) for w in terms_of(t))
+    df = Counter(w for _, w in tf)
+    raw = {(i, w): (1 + math.log(c)) * round(math.log(n / df[w]), 6) for (i, w), c in tf.items() if df[w] < n}
+    norm = Counter()
+    for (i, _), v in raw.items():
+        norm[i] += v * v
+    out = {}
+    for text_id, t in texts:
+        known = [w for w in terms_of(t) if 0 < df[w] < n]
+        idf = {w: round(math.log(n / df[w]), 6) for w in known}
+        length = math.sqrt(sum(v * v for v in idf.values()))
+        sums = Counter()
+        for (i, w), v in raw.items():
+            if w in idf:
+                sums[i] += round(v / math.sqrt(norm[i]), 6) * idf[w]
+        best = sorted(((-round(s / length, 6), i) for i, s in sums.items()))[:k]
+        out[text_id] = [(rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    return out
+
+
+def test_scorers_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    train = [(i, " ".join(rng.sample(words, 6))) for i in range(70) for _ in range(2)]
+    texts = [(i, " ".join(rng.sample(words, 5) + ["unseen"])) for i in range(30)]
+    cut = {"basic": lambda t: set(t.split()), "lang": lambda t: {f" {t} "[i:i + 4] for i in range(len(t) - 1)}}
+    frame = spark.createDataFrame(texts, "text_id bigint, text string")
     for model in ("basic", "lang"):
-        index = session.materialize(scoring.fit_score_index(train, model))
-        small = rows(scoring.score_texts(texts, index, model))
-        monkeypatch.setattr(scoring, "BROADCAST_INDEX_ROWS", 0)
-        assert rows(scoring.score_texts(texts, index, model)) == small and small
-        monkeypatch.undo()
-
-
-def test_relational(spark):
-    df = spark.createDataFrame([(1, "  ab "), (2, " abc "), (3, None), (4, "\tx")], "i int, t string")
-    assert rows(relational.clean_rows(df, "t")) == [(2, "abc")]
-    assert rows(relational.filter_min_len(df, "t").select("i")) == [(1,), (2,), (3,)]
-    merged = spark.createDataFrame([(1, 9), (2, 9)], "old_id bigint, new_id bigint")
-    ids = spark.createDataFrame([(1,), (2,), (3,)], "k bigint")
-    assert rows(relational.remap_merged(ids, merged, "k")) == [(3,), (9,), (9,)]
-    assert rows(relational.remap_merged(ids, merged, "k", distinct=True)) == [(3,), (9,)]
-
-
-def test_prefix_sizes(spark):
-    counts = dict(rows(synth.default_prefixes(spark).groupBy("inst_type").count()))
-    assert counts == {"Education": 272, "Company": 5, "Healthcare": 145}
-
-
-def test_synthetic_counts(spark):
-    schema = ("registry_id string, type string, name string, aliases array<string>, "
-              "labels array<struct<label string, iso639 string>>, acronyms array<string>, city string, state string, "
-              "region string, country string")
-    base = ["N", None, [("L", "fr"), ("J", "ja")], ["AC"]]
-    data = [("a", "Education", *base, "C", None, "R", "K"), ("b", "Healthcare", *base, "C", "S", "R", "K"),
-            ("c", "Company", *base, "C", None, "C", "K"), ("d", "Education", *base, None, None, None, "K"),
-            ("e", "Archive", *base, None, None, None, None)]
-    out = synth.synthetic_strings(spark.createDataFrame(data, schema), synth.default_prefixes(spark))
-    counts = dict(rows(out.groupBy("registry_id").count()))
-    # three aliases each: name, label in a kept language, acronym
-    assert counts == {"a": 3 * (13 + 5 * 26), "b": 3 * (13 + 3 * 26), "c": 3 * (7 + 14), "d": 3 * (3 + 4 * 6), "e": 3}
-    plain = {r.original_affiliation for r in out.filter("registry_id = 'a'").collect()}
-    assert {"N, C, R, K", "N, C", "N C R K", "AC", "L R"} <= plain
-
-
-def test_registry_tables(spark):
-    import json
-    import tempfile
-    from affinis.sources.readers import read_registry
-    record = {
-        "id": "https://registry.example/01a", "name": "Alpha Univ. & Co", "status": "withdrawn", "types": [],
-        "aliases": ["Harvard University"], "acronyms": ["AU"], "labels": [{"label": "Alfa Universität", "iso639": "de"}],
-        "addresses": [{"city": "Town", "state": None, "geonames_city": {"geonames_admin1": {"name": "North"}}}],
-        "country": {"country_code": "XX", "country_name": "Xland"},
-        "relationships": [{"type": "Successor", "id": "https://registry.example/02b"}, {"type": "Parent", "id": "h/03c"}],
-    }
-    path = tempfile.mkdtemp() + "/registry.json"
-    open(path, "w").write(json.dumps([record]))
-    flat = dims.flatten_registry(read_registry(spark, path))
-    row = flat.collect()[0]
-    assert (row.registry_id, row.type, row.city, row.region, row.final_state, row.country) == (
-        "01a", "", "Town", "North", "North", "Xland")
-    assert [tuple(r) for r in dims.successors_parents(flat).select("successor", "parents").collect()] == [("02b", ["03c"])]
-    inst = spark.createDataFrame([(7, "01a", "Alpha University")], "affiliation_id bigint, registry_id string, display_name string")
-    dim = dims.institution_dim(flat, inst).collect()[0]
-    assert dim.inst_id == 7
-    assert dim.final_names == ["AlphaUniversityandCo", "HarvardMedicalSchool", "HarvardUniversity", "AlfaUniversitat",
-                               "AlphaUniversity"]
-    assert len(fixed.SKIPPED_LABEL_LANGUAGES) == 40
-
-
-def test_materialize_uses_the_named_folder(spark, tmp_path):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        spark.conf.set("affinis.scratch.dir", str(tmp_path))
-    table = session.materialize(spark.range(3))
-    assert table.count() == 3
-    assert all(f.removeprefix("file:").startswith((named or str(tmp_path)).removeprefix("file:")) or named
-               for f in table.inputFiles())
-    assert session.shared_dir(spark) == (named or str(tmp_path)).rstrip("/")
+        index = session.materialize(scoring.fit_score_index(spark.createDataFrame(train, "inst_id bigint, text string"), model))
+        expected = plain_scores(train, texts, cut[model])
+        for blocks, parts in ((1_000_000, 20_000), (50, 7)):
+            monkeypatch.setattr(scoring, "INDEX_BLOCK_ROWS", blocks)
+            monkeypatch.setattr(scoring, "TEXT_PART_ROWS", parts)
+            got = scoring.score_texts(frame, index, model, sharpness=None).collect()
+            assert sorted((r.text_id, r["rank"], r.inst_id) for r in got) == sorted((t, a, b) for t, v in expected.items() for a, b, _ in v)
+            assert all(abs(r.score - expected[r.text_id][r["rank"] - 1][2]) < 2e-6 for r in got)
+
+
+def test_frequent_terms_are_enough(spark):
+    """A text whose terms all belong to very many institutions still finds the one that has all of them."""
+    train = [(i, f"alpha{i % 2} beta{i // 2 % 2} gamma{i // 4 % 2}" if i else "delta") for i in range(1, 2401)] + [(0, "delta")]
+    train.append((2401, "alpha0 beta1 gamma1 alpha1"))
+    index = session.materialize(scoring.fit_score_index(spark.createDataFrame(train, "inst_id bigint, text string"), "basic"))
+    texts = spark.createDataFrame([(1, "gamma1 alpha1 alpha0 beta1")], "text_id bigint, text string")
+    assert scoring.score_texts(texts, index, "basic").filter("rank = 1").collect()[0].inst_id == 2401
+    assert index.agg(F.max("df")).collect()[0][0] > 1000
+
+
+def test_shard_names_are_never_cut(spark):
+    df = spark.range(12_345).select("id")
+    shards = features.shard_rows(df, ["id"], 1).groupBy("shard").count().collect()
+    assert len(shards) == 12_345 and {len(r.shard) for r in shards} == {4, 5}
+    few = features.dense_index(spark.range(500).select("id"), ["id"], bucket_rows=3)
+    assert rows(few) == rows(features.dense_index(spark.range(500).select("id"), ["id"]))
+
+
+def test_join_contains_short_names(spark):
+    texts = [(i, t) for i, t in enumerate(["abcd", "bcda abc", "d", "", "aaaa", "cab dab"])]
+    names = [(i, n) for i, n in enumerate(["a", "d", "ab", "bc", "aa", "abc", "cda", "abcd", "dab", "aaaa", "z", " "])]
+    got = matching.join_contains(
+        spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(names, "j int, n string"), "i", "t", "j", "n")
+    assert rows(got) == sorted(((i, j) for i, t in texts for j, n in names if n in t), key=repr)
+
+
+def test_scratch_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster())

@@ -15,6 +15,11 @@ def test_fold(spark):
     assert got == ["Zurich - Lodz", "Strasse", "OEuvre AEro", "Moskva", "Athena", "plain", None, "Nguyen", "a b"]
 
 
+def test_fold_of_compatible_forms(spark):
+    got = values(spark, ["Ｕｎｉｖ．", "½ ™ № −", "ofﬁce", "x⁴ ①", "Ⓐ"], text.ascii_fold)
+    assert got == ["Univ.", "1/2 tm No -", "office", "x4 1", "A"]
+
+
 def test_clean(spark):
     got = values(
         spark,
