@@ -500,12 +500,6 @@ def confusion_counts(t: Tables):
     return counted.select("text_id", "c.*")
 
 
-def order_evaluation(t: Tables) -> DataFrame:
-    rows = order_results(t).withColumnRenamed("text_id", "affiliation_string")
-    gold = rows.select("affiliation_string", "labels", "dataset")
-    return evaluate.evaluate(rows.select("affiliation_string", "predictions"), gold)
-
-
 @query(f"""WITH {SQL_EVAL} SELECT text_id, CAST(fp > 0 AS INTEGER) AS has_fp, CAST(fn > 0 AS INTEGER) AS has_fn, tp, fp, tn, fn
 FROM counts WHERE variant = 'all'""")
 def error_flags(t: Tables):
