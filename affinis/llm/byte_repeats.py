@@ -21,5 +21,5 @@ from affinis.llm.suffix_structures import array_classes
 def dedup_bytes(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``kept``: the bytes left)."""
     gram = max(1, length * 2 // 5)
-    plan = Plan(words=False, length=length, gram=gram, within=False, classes=array_classes, block_bytes=2 << 20)
+    plan = Plan(words=False, length=length, gram=gram, within=False, classes=array_classes, block_bytes=1 << 19)
     return without_repeats(docs, plan, with_text).withColumnRenamed("n_units", "n_bytes")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from affinis.session import materialize, scratch_path
 
-__all__ = ["WORD", "WHITE_SPACE", "held_out", "least_hashed", "materialize", "scratch_path", "table", "texts_of", "blocks_of"]
+__all__ = ["WORD", "WHITE_SPACE", "held_out", "in_small_batches", "least_hashed", "materialize", "scratch_path", "table", "texts_of", "blocks_of"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of text that go to a Python worker at a time.
+BATCH_ROWS = 1000
 #: The characters between words.
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -26,6 +28,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; the session hands Python workers 1000 rows at a time, as texts are long, unless it asks for fewer."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def least_hashed(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows of the ``n`` least hashes of doc_id for each label, with their ``place``.
 

@@ -15,10 +15,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit values spread over all bits."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    for _ in range(2):  # in place, to hold few arrays of a block's size
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 #: A value for each byte.
@@ -36,7 +36,9 @@ class Rolling:
     def __init__(self, values: np.ndarray) -> None:
         n = len(values)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(_BASE, n), out=self.sums[1:])
+        up = powers(_BASE, n)
+        up *= values
+        np.cumsum(up, out=self.sums[1:])
         self.down = powers(_INVERSE, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -45,7 +47,11 @@ class Rolling:
     def windows(self, length: int) -> np.ndarray:
         """The hash of the ``length`` units from each start that has so many."""
         n = len(self.sums) - length
-        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        out = self.sums[length:] - self.sums[:n]
+        out *= self.down[:n]
+        return mixed(out)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,9 @@
 A text is a sequence of units (words or bytes). A window, ``length`` units of one text, is
 repeated if the same units also start earlier. All windows are far too many to shuffle. Instead:
 
-1. Anchors. Of the short grams inside a window the one of the least hash is an anchor, so equal
+1. Anchors. Of the short grams inside a window the first of the least hash is its anchor, so equal
    windows have equal anchors at the same place; about ``2 / (length - gram + 2)`` of all places
-   are anchors. An anchor's context is what its windows can cover. Each task asks about its
+   are anchors. An anchor's context is what its windows cover; each window has one anchor. Each task asks about its
    anchors, once for each context in a block: (gram, context, first place), packed by bucket of
    the gram. Texts are not shuffled.
 2. Answers. A bucket tells each chunk of documents, for contexts it asked about that matter, the first place
@@ -37,7 +37,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import blocks_of, materialize, scratch_path, texts_of
+from affinis.llm.common import blocks_of, in_small_batches, materialize, scratch_path, texts_of
 from affinis.llm.hashing import BYTE_VALUES, Rolling, joined, mixed, runs
 
 CHUNK_ROWS = 8192
@@ -89,10 +89,17 @@ class Units:
             self.values, self.starts, self.ends = BYTE_VALUES[data], starts, starts + sizes
         self.data, self.words = data, words
 
-    def content(self, start: int, end: int) -> bytes:
-        if self.words:
-            return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.first[start:end], self.last[start:end]))
-        return self.data[start:end].tobytes()
+    def contents(self, starts: np.ndarray, ends: np.ndarray):
+        """The bytes of ranges of units as an Arrow column; between words, what the text has."""
+        import pyarrow as pa
+
+        if self.words and len(starts):
+            starts, ends = self.first[starts], self.last[ends - 1]
+        sizes = ends - starts
+        to = np.cumsum(sizes)
+        data = self.data[np.repeat(starts - to + sizes, sizes) + np.arange(sizes.sum())]
+        offsets = np.append(0, to).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -129,15 +136,35 @@ class Anchors:
             self.grams = grams[self.at]
         else:
             self.grams = np.empty(0, np.uint64)
-        self.text = np.searchsorted(units.starts, self.at, side="right") - 1
         # texts without units share their start with the next one: the last that starts here owns it
-        self.start = np.maximum(units.starts[self.text], self.at - (length - gram)) if len(self.at) else self.at
-        self.end = np.minimum(units.ends[self.text], self.at + length) if len(self.at) else self.at
+        self.text = np.searchsorted(units.starts, self.at, side="right") - 1
+        if len(self.at):
+            low = np.maximum(units.starts[self.text], self.at - (width - 1))
+            high = np.minimum(units.ends[self.text] - length, self.at)
+            self._cut(low, high, width)
+            own = low <= high  # of equal grams in reach of each other, a later one may own no window
+            self.at, self.grams, self.text = self.at[own], self.grams[own], self.text[own]
+            self.start, self.end = low[own], high[own] + length
+        else:
+            self.start = self.end = self.at
         whole = self.rolling.of(self.start, self.end)
         shape = ((self.at - self.start) * 4096 + (self.end - self.at)).astype(np.uint64)
         self.contexts = np.maximum(mixed(whole ^ mixed(shape)), np.uint64(1))
         self.places = self.at - units.starts[self.text] if len(self.at) else self.at
 
+    def _cut(self, low: np.ndarray, high: np.ndarray, width: int) -> None:
+        """Narrows the window starts of each place to those it is the anchor of."""
+        for step in range(1, width):
+            # another place within reach that has a smaller gram, or an equal one further left, owns the windows of both
+            near = self.at[step:] - self.at[:-step] < width
+            if not near.any():
+                break
+            left = np.flatnonzero(near)
+            right = left + step
+            loses = self.grams[right] >= self.grams[left]
+            low[right[loses]] = np.maximum(low[right[loses]], self.at[left[loses]] + 1)
+            high[left[~loses]] = np.minimum(high[left[~loses]], self.at[right[~loses]] - width)
+
 
 def _pieces_of(batches: Iterable, block_bytes: int) -> Iterator:
     """Blocks of rows of one chunk."""
@@ -262,7 +289,13 @@ def _second_pass(plan: Plan, folder: str, buckets: int):
         import pyarrow as pa
 
         names = ["kind", "chunk", "key", "row", "doc", "start", "content"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+        def pieces(chunk: int, hashes, row, doc, start, content) -> Iterator:
+            n = len(hashes)
+            columns = [np.ones(n, np.int32), np.full(n, chunk), (hashes >> np.uint64(1)).astype(np.int64), row, doc, start.astype(np.int32)]
+            whole = pa.RecordBatch.from_arrays([*map(pa.array, columns), content], names)
+            yield from (whole.slice(i, 5000) for i in range(0, n, 5000))
+
         chunk, told, hot = None, None, None
         for own, block, ids in _pieces_of(batches, plan.block_bytes):
             if own != chunk:
@@ -290,30 +323,29 @@ def _second_pass(plan: Plan, folder: str, buckets: int):
                 leads = known & ~later & (told["kind"][found] == 1)
                 later &= known
             spans = [_spans(rows, anchors.text[later], (anchors.start - base)[later], (anchors.end - base)[later])]
-            out = [
-                (1, own, int(anchors.grams[i] >> np.uint64(1)), int(rows[anchors.text[i]]), int(doc[i]), int(anchors.start[i] - base[i]),
-                 units.content(anchors.start[i], anchors.end[i]))
-                for i in np.flatnonzero(leads)
-            ]
+            yield from pieces(
+                own, anchors.grams[leads], rows[anchors.text[leads]], doc[leads], (anchors.start - base)[leads],
+                units.contents(anchors.start[leads], anchors.end[leads]),
+            )
             if is_hot.any():
                 single, covered = _hot_windows(plan, units, anchors, np.flatnonzero(is_hot), ids, rows)
                 spans.append(covered)
-                out += [(1, own, *piece) for piece in single]
+                yield from pieces(own, *single)
             spans = np.concatenate(spans)
             if len(spans):
-                out.append((0, own, 0, 0, 0, 0, spans.tobytes()))
-            for start in range(0, len(out), 5000):
-                yield _packed(out[start : start + 5000], names, kinds)
+                zero = pa.array([0])
+                yield pa.RecordBatch.from_arrays(
+                    [zero.cast(pa.int32()), pa.array([own]), zero, zero, zero, zero.cast(pa.int32()), pa.array([spans.tobytes()], pa.binary())], names
+                )
 
     return run
 
 
-def _hot_windows(plan: Plan, units: Units, anchors: Anchors, which: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[list, np.ndarray]:
+def _hot_windows(plan: Plan, units: Units, anchors: Anchors, which: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[tuple, np.ndarray]:
     """Single windows around hot anchors: those to ask about, and spans of those that the block itself has earlier."""
     text = anchors.text[which]
-    low = np.maximum(units.starts[text], anchors.at[which] - (plan.length - plan.gram))
-    high = np.minimum(anchors.at[which], units.ends[text] - plan.length)
-    counts = np.maximum(0, high - low + 1)
+    low = anchors.start[which]
+    counts = anchors.end[which] - plan.length - low + 1
     starts = np.unique(np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
     text = np.searchsorted(units.starts, starts, side="right") - 1
     hashes = anchors.rolling.of(starts, starts + plan.length)
@@ -325,10 +357,7 @@ def _hot_windows(plan: Plan, units: Units, anchors: Anchors, which: np.ndarray,
     # the leader is earlier: a smaller doc_id, or where that counts an earlier place
     later = ~same | (places[order] > places[order][leader]) if plan.within else ~same
     late, early = order[later], order[~later]
-    single = [
-        (int(hashes[i] >> np.uint64(1)), int(rows[text[i]]), int(doc[i]), int(places[i]), units.content(starts[i], starts[i] + plan.length))
-        for i in early
-    ]
+    single = hashes[early], rows[text[early]], doc[early], places[early], units.contents(starts[early], starts[early] + plan.length)
     return single, _spans(rows, text[late], places[late], places[late] + plan.length)
 
 
@@ -336,7 +365,7 @@ def repeated_windows(plan: Plan, pieces: list[bytes], doc: np.ndarray, start: np
     """(piece, window start in it) of all windows of the pieces that also occur at an earlier place."""
     if plan.words:
         number: dict[bytes, int] = {}
-        sequences = [np.array([number.setdefault(w, len(number)) for w in p.split(b" ")], np.int64) for p in pieces]
+        sequences = [np.array([number.setdefault(w, len(number)) for w in p.split()], np.int64) for p in pieces]
     else:
         sequences = [np.frombuffer(p, np.uint8).astype(np.int64) for p in pieces]
     sizes = np.array([len(s) for s in sequences], np.int64)
@@ -438,7 +467,7 @@ def placed(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, plan: Plan, with_text: bool = False) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256 (and ``kept``, in UTF-8) of every row of ``docs``."""
     spark = docs.sparkSession
-    texts = placed(docs)
+    texts = placed(in_small_batches(docs))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     told, local, resolved = (scratch_path(spark, f"repeats-{name}") for name in ("told", "local", "resolved"))

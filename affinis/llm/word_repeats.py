@@ -22,6 +22,6 @@ from affinis.llm.suffix_structures import automaton_classes
 def dedup_words(docs: DataFrame, length: int = 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row (and ``kept``: the words left, with spaces between)."""
     gram = max(1, length * 2 // 5)
-    plan = Plan(words=True, length=length, gram=gram, within=True, classes=automaton_classes, block_bytes=4 << 20)
+    plan = Plan(words=True, length=length, gram=gram, within=True, classes=automaton_classes, block_bytes=2 << 20)
     found = without_repeats(docs, plan, with_text).withColumnRenamed("n_units", "n_words").drop("n_spans")
     return found.withColumn("kept", found.kept.cast("string")) if with_text else found

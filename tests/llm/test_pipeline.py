@@ -5,14 +5,11 @@ import sys
 from collections import Counter
 from pathlib import Path
 
-import pytest
-
 import corpus_pipeline
 from affinis.llm import language_crf, queries
 from affinis.llm.common import materialize, table
 from tests.llm.plain import later_windows, sorted_rows
 from tests.llm.test_texts import plain_components, plain_dedup, plain_encoding, plain_mix, plain_print
-from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -52,11 +49,6 @@ def test_stages(spark):
     assert sorted_rows(run.collect()) == sorted_rows(kept.collect())
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_queries_against_sql(spark, name):
-    assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.ORACLE_SQL[name]) == []
-
-
 def test_byte_repeats_query(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert sorted_rows(queries.op7_byte_repeats(spark, SF).collect()) == sorted_rows(later_windows(rows, 50, False))
