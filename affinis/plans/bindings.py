@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions.text import ARMED_FORCES
+from affinis.session import materialize
 from affinis.sources.readers import read_table, spread
 
 
@@ -18,6 +19,13 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result with several readers within a query: written to the shared folder when first asked for."""
+        if name not in self._made:
+            self._made[name] = materialize(make(), name)
+        return self._made[name]
 
     @property
     def wide_documents(self) -> DataFrame:

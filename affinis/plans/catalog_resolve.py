@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis import fixed_values as fixed
 from affinis.functions.draws import draw_unit
-from affinis.functions.text import clean_match_text, country_patterns
+from affinis.functions.text import clean_match_text, country_patterns, index_words
 from affinis.operators import dims, ensemble, evaluate, scoring
 from affinis.operators.relational import common_name_ids
 from affinis.plans import resolve
@@ -110,6 +110,10 @@ def order_lines(t: Tables) -> DataFrame:
 
 def order_texts(t: Tables) -> DataFrame:
     """One text per order that names the suppliers of all its lines."""
+    return t.once("order-texts", lambda: make_order_texts(t))
+
+
+def make_order_texts(t: Tables) -> DataFrame:
     key = F.col("text_id")
     inst = rule_institutions(t).select("inst_id", "display_name", "city", "country")
     piece = F.when(key % 7 == 0, F.col("display_name")).otherwise(
@@ -143,7 +147,7 @@ def order_scores(t: Tables) -> DataFrame:
 
 
 def order_candidates(t: Tables) -> DataFrame:
-    return ensemble.candidate_context(order_scores(t), order_texts(t), institution_context(t))
+    return t.once("order-candidates", lambda: ensemble.candidate_context(order_scores(t), order_texts(t), institution_context(t)))
 
 
 # ------------------------------------------------------- the rules in SQL --
@@ -280,22 +284,35 @@ def topk_candidates(t: Tables):
     return scoring.topk_candidates(scoring.term_scores(mention_texts(t), fitted(t, "basic"), "basic"))
 
 
-def _digit_model():
-    """A stand-in model: the supplier number in the text, and the one after it."""
-    def predict(texts):
-        number = pd.Series(texts).str.extract(r"#(\d+), NATION")[0].fillna("0").astype("int64").to_numpy()
-        labels = np.stack([number, number + 1], axis=1)
-        return {"labels": labels, "scores": np.tile([0.9, 0.1], (len(labels), 1))}
-    return predict
-
-
 @query(f"""WITH {SQL_MENTION}, {SQL_SUPPLIER_TEXT},
-n AS (SELECT text_id, CAST(regexp_extract(txt, '#(\\d+), NATION', 1) AS BIGINT) AS n FROM texts)
-SELECT text_id, 'external' AS model, 1 AS rank, n AS inst_id, 0.9::DOUBLE AS score FROM n
-UNION ALL SELECT text_id, 'external', 2, n + 1, 0.1::DOUBLE FROM n""")
+seen AS (SELECT inst_id, unnest({sql_words('affiliation_string')}) AS term FROM mention),
+counts AS (SELECT inst_id, term, count(*) AS n FROM seen GROUP BY ALL),
+classes AS (SELECT inst_id, sum(n) AS words FROM counts GROUP BY 1),
+docs AS (SELECT inst_id, ln(count(*) + 1.0::DOUBLE) - ln((SELECT count(*) FROM mention) + (SELECT count(*) FROM classes)::DOUBLE) AS prior FROM mention GROUP BY 1),
+size AS (SELECT count(DISTINCT term) AS v FROM counts),
+term_of AS (SELECT text_id, unnest({sql_words('txt')}) AS term FROM texts),
+terms AS (SELECT text_id, count(*) AS k FROM term_of GROUP BY 1),
+gain AS (SELECT text_id, inst_id, sum(ln(n + 1.0::DOUBLE)) AS g FROM term_of JOIN counts USING (term) GROUP BY 1, 2),
+logp AS (SELECT t.text_id, c.inst_id, prior + coalesce(g, 0) - k * ln(words + v::DOUBLE) AS l
+  FROM terms t, classes c JOIN docs USING (inst_id), size LEFT JOIN gain g ON g.text_id = t.text_id AND g.inst_id = c.inst_id),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY text_id)) AS e FROM logp),
+p AS (SELECT text_id, inst_id, round(e / sum(e) OVER (PARTITION BY text_id), 6) AS score FROM e)
+SELECT text_id, 'external' AS model, CAST(row_number() OVER (PARTITION BY text_id ORDER BY score DESC, inst_id) AS INTEGER) AS rank, inst_id, score
+FROM p QUALIFY rank <= 2""")
 def score_external(t: Tables):
-    udf = predict_batch_udf(_digit_model, return_type=scoring.MODEL_OUTPUT, batch_size=2048)
-    return scoring.score_external(mention_texts(t), udf("text"), "external")
+    """A naive Bayes classifier of Spark ML, fitted on the labelled strings, as the model of one's own."""
+    labelled = t.once("labelled", lambda: mention(t).select("inst_id", index_words(F.col("affiliation_string")).alias("words")))
+    labels = [r[0] for r in labelled.select("inst_id").distinct().orderBy("inst_id").collect()]  # one per class of the model
+    number = F.array_position(F.array(*map(F.lit, labels)), F.col("inst_id")) - 1
+    cut = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2**20, binary=True).fit(labelled)
+    model = NaiveBayes(labelCol="label", smoothing=1.0).fit(cut.transform(labelled).select("features", number.cast("double").alias("label")))
+    texts = cut.transform(mention_texts(t).select("text_id", index_words(F.col("text")).alias("words")))
+    shares = F.transform(vector_to_array("probability"), lambda x: F.round(x, 6))
+    best = F.slice(F.array_sort(F.transform(
+        shares, lambda x, i: F.struct((-x).alias("less"), F.element_at(F.array(*map(F.lit, labels)), i + 1).cast("bigint").alias("id")))), 1, 2)
+    chosen = model.transform(texts).select("text_id", best.alias("best"))
+    predict = F.struct(F.col("best.id").alias("labels"), F.transform("best.less", lambda x: -x).alias("scores"))
+    return scoring.score_external(chosen, predict, "external", 2)
 
 
 # ========================================================== gate and rules ==
