@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import WHITE_SPACE, blocks_of, materialize, texts_of
+from affinis.llm.common import WHITE_SPACE, blocks_of, in_small_batches, materialize, texts_of
 
 #: An entry per row; the last five are filled where ``row = entry``, for all of the block's copies together.
 ENTRY = (
@@ -161,7 +161,7 @@ def _packed(chain: list):
 
 def dedup_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    entries = materialize(docs.select("doc_id", "text").mapInArrow(_entries, ENTRY), "dedup-entries")
+    entries = materialize(in_small_batches(docs).select("doc_id", "text").mapInArrow(_entries, ENTRY), "dedup-entries")
     texts = entries.where(F.col("normal").isNotNull())
     bounds = owner_bounds(materialize(directory(texts, bucket_keys), "dedup-directory"))
 

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from affinis.llm.common import blocks_of, held_out, least_hashed, materialize, texts_of
+from affinis.llm.common import blocks_of, held_out, in_small_batches, least_hashed, materialize, texts_of
 from affinis.llm.hashing import BYTE_VALUES, LETTERS, Rolling, joined, runs
 
 #: The most documents of each language that the model is fitted on, and bytes of text of them all.
 SAMPLE, SAMPLE_BYTES = 250, 6 << 20
 TABLE_BITS = 18
 UNKNOWN = "und"
-BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 18
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +82,13 @@ class Field:
         """Probabilities of each word's language by forward-backward, for sequences laid end to end.
 
         Also the expected number of each transition, summed. All sequences advance together, the
-        longest first, so that step t works on those that have a word t.
+        longest first, so that step t works on those that have a word t. ``emissions`` is used up.
         """
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
-        scores = np.exp(emissions - emissions.max(1, keepdims=True))
+        scores = emissions
+        scores -= scores.max(1, keepdims=True)
+        np.exp(scores, out=scores)
         moves = np.exp(self.moves - self.moves.max()).astype(np.float32)
         steps = int(sizes[0]) if len(sizes) else 0
         alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
@@ -96,7 +98,7 @@ class Field:
             a = scores[at] if t == 0 else (a[: alive[t]] @ moves) * scores[at]
             a = a / a.sum(1, keepdims=True)
             ahead[at] = a
-        out, pairs = np.empty_like(scores), np.zeros_like(self.moves)
+        pairs = np.zeros_like(self.moves)
         for t in range(steps - 1, -1, -1):
             at = starts[: alive[t]] + t
             back = np.ones((alive[t], scores.shape[1]), np.float32)
@@ -108,8 +110,8 @@ class Field:
                     pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             later = back / back.sum(1, keepdims=True)
             both = ahead[at] * later
-            out[at] = both / both.sum(1, keepdims=True)
-        return out, pairs
+            ahead[at] = both / both.sum(1, keepdims=True)  # of no more use to earlier steps
+        return ahead, pairs
 
     counting = False
 
@@ -209,11 +211,11 @@ def _predicted(field: Field | None, rest: list[str]):
                     emissions.append(field.emissions(ids, begin))
                     owner.append(text + start)
                     start += len(part)
-                emissions, owner = np.concatenate(emissions), np.concatenate(owner)
+                emissions, owner = np.concatenate(emissions), np.concatenate(owner).astype(np.int32)
                 present, first, sizes = np.unique(owner, return_index=True, return_counts=True)
                 found, _ = field.marginals(emissions, first, sizes)
                 if len(present):
-                    mean = np.add.reduceat(found.astype(np.float64), first, axis=0) / sizes[:, None]
+                    mean = np.add.reduceat(found, first, axis=0, dtype=np.float64) / sizes[:, None]
                     best = mean.argmax(1)
                     names[present] = np.array(field.languages, object)[best]
                     scores[present] = np.clip(mean[np.arange(len(best)), best], 0, 1)
@@ -228,7 +230,7 @@ def _predicted(field: Field | None, rest: list[str]):
 
 def predicted(docs: DataFrame, field: Field | None, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and others) with ``lang_pred`` and ``score``."""
-    rest = [f for f in docs.schema if keep_text or f.name != "text"]
+    rest = [f for f in in_small_batches(docs).schema if keep_text or f.name != "text"]
     schema = StructType([*rest, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(_predicted(field, [f.name for f in rest]), schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from affinis.llm.common import blocks_of, materialize, texts_of
+from affinis.llm.common import blocks_of, in_small_batches, materialize, texts_of
 
 BITS = 64
 SEED = 42
@@ -83,7 +83,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with ``print``, the fingerprint of its text as a signed long, in place of ``text``."""
-    rest = [f for f in docs.schema if f.name != "text"]
+    rest = [f for f in in_small_batches(docs).schema if f.name != "text"]
     return docs.select("text", *[f.name for f in rest]).mapInArrow(_fingerprints(width), StructType([*rest, StructField("print", LongType())]))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from affinis.llm.common import blocks_of, held_out, least_hashed, materialize, texts_of
+from affinis.llm.common import blocks_of, held_out, in_small_batches, least_hashed, materialize, texts_of
 from affinis.llm.hashing import ALNUM, BYTE_VALUES, Rolling, joined, runs
 
 #: The most labelled rows of each label that the model is fitted on.
@@ -209,6 +209,6 @@ def scored(docs: DataFrame, kept: np.ndarray, machine: Machine) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
-    kept, machine = fit(docs, labels, sample)
+    kept, machine = fit(in_small_batches(docs), labels, sample)
     out = scored(docs.select("doc_id", "text"), kept, machine)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

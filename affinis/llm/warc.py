@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import materialize
+from affinis.llm.common import in_small_batches, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
@@ -124,7 +124,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1
     Payloads under ``min_bytes`` are responses always. ``folder`` must be reachable by all executors.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("same"), F.octet_length(payload).alias("n"))
+    keyed = in_small_batches(pages).select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("same"), F.octet_length(payload).alias("n"))
     # only payloads that occur more than once are joined; Spark broadcasts them if they are few, and splits a hot one if not
     repeated = (
         keyed.where(F.col("n") >= min_bytes).groupBy("same", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("refers_to"))
