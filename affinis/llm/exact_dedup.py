@@ -37,9 +37,9 @@ ENTRY = (
 OWNED = "entry long, keep_row long, keep_id long, group_size long"
 BLOCK_BYTES = 8 << 20
 #: Keys of a bucket before it is split.
-BUCKET_KEYS = 4096
+BUCKET_KEYS = 1024
 #: Buckets that one owner task gets at least, and the most owner tasks.
-OWNER_BUCKETS, OWNERS = 4, 50_000
+OWNER_BUCKETS, OWNERS = 2, 50_000
 
 
 def _rank(code_points: int, doc_id: int | None, row: int) -> tuple:
