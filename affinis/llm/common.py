@@ -15,6 +15,8 @@ __all__ = ["WORD", "WHITE_SPACE", "held_out", "in_small_batches", "least_hashed"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text that go to a Python worker at a time.
 BATCH_ROWS = 1000
+#: Tasks that the rows of one label are dealt over.
+SALTS = 16
 #: The characters between words.
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -39,14 +41,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 def least_hashed(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows of the ``n`` least hashes of doc_id for each label, with their ``place``.
 
-    The counts of the labels tell how small a hash must be to have a chance; only such rows,
-    about half as many again as are wanted, meet in one task per label.
+    A label's rows are first dealt over ``SALTS`` tasks, which keep ``n`` each, so that at most
+    ``SALTS * n`` rows of a label meet in one.
     """
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_of"))
-    near = df.withColumn("_draw", draw).join(counts, label).where(F.col("_draw") <= (1.5 * n + 100) * 2.0**63 / F.col("_of"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy("_draw", "doc_id", *[c for c in df.columns if c not in ("doc_id", label)]))
-    return near.withColumn("place", place).where(F.col("place") <= n).drop("_draw", "_of")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), *[F.col(c) for c in df.columns if c not in ("doc_id", label)]]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)))
+    kept = dealt.withColumn("place", F.row_number().over(Window.partitionBy(label, "_salt").orderBy(*order))).where(F.col("place") <= n)
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    return kept.drop("_salt", "place").withColumn("place", place).where(F.col("place") <= n)
 
 
 def texts_of(column) -> list[bytes]:
