@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MULTI_LETTER_FOLDS = {
     "ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th",
     "\u2026": "...", "\u2014": "--", "\u2015": "--",
+}
+SYMBOL_FOLDS = {
     "¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3",
     "№": "No", "™": "tm", "℠": "sm", "℃": "C", "℡": "TEL",
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
@@ -95,7 +97,9 @@ def ascii_fold(c: Column) -> Column:
     Texts that are plain ASCII already skip every table.
     """
     table = _compatible_folds() | MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
-    folded = F.regexp_replace(_replace_all(c, table), NON_ASCII, "")
+    # symbols are rare: one search spares most texts their replacements
+    plain = F.when(c.rlike(f"[{''.join(SYMBOL_FOLDS)}]"), _replace_all(c, SYMBOL_FOLDS)).otherwise(c)
+    folded = F.regexp_replace(_replace_all(plain, table), NON_ASCII, "")
     return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 
 
