@@ -19,7 +19,8 @@ repeated if the same units also start earlier. All windows are far too many to s
 
 Chunks are runs of rows of a file; what a chunk is told is a folder in the shared storage, which any
 task that meets the chunk loads. A gram with very many contexts in one block (a line that a third
-of all texts have, with other text around it) is hot: it is only reported, and its windows go to shards
+of all texts have, with other text around it) is hot: it is only reported. A gram with very many
+contexts over all blocks is hot as well. The windows of hot grams go to shards
 one by one, dealt by their own hash, and only the first of a block's equal ones.
 
 Hashes have 64 bits: two different contexts of one gram are taken for equal with probability
@@ -45,6 +46,8 @@ CHUNK_ROWS = 8192
 BUCKET_BYTES, SHARD_PIECES = 16 << 20, 20_000
 #: Contexts of one gram in a block that make it hot.
 HOT_CONTEXTS = 32
+#: Contexts of one gram over all blocks that make it hot: half of a shard, which a gram's pieces meet in.
+HOT_IN_ALL = SHARD_PIECES // 2
 NO_ID = 2**63 - 1  # a missing doc_id comes after all others
 SPAN = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
@@ -246,7 +249,7 @@ def _answers(plan: Plan):
         of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
         first = np.flatnonzero(new_context)
         contexts = np.bincount(of_gram[first])  # of each gram
-        hot = np.zeros(len(contexts), bool)
+        hot = contexts >= HOT_IN_ALL
         hot[of_gram[context == 0]] = True
         several = (np.bincount(of_context) > 1) | (np.bincount(of_context, records["many"]) > 0)
         kind = np.where(hot, 2, np.where(contexts > 1, 1, 0))[of_gram]
