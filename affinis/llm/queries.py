@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, byte_repeats, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
+from affinis.llm import bpe, byte_repeats, conversations, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
 from affinis.llm.common import scratch_path, table
 
 #: The folder of the public tokenizers; a parameter of the environment.
@@ -62,11 +62,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return conversations.reports(conversations.repair(conversations.damaged(original)), original)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_language, op3_knn, op4_mixing, op5_warc, op6_word_repeats, op7_byte_repeats, op8_exact_dedup, op9_toxicity,
-        op10_simhash,
+        op10_simhash, op11_conversations,
     )
 }
 
@@ -158,4 +163,58 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_re
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+CONVERSATIONS_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    -- CRC-32 of the ASCII name: each byte goes in, then eight shifts
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+        for b in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM o, (VALUES (0), (1)) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS place FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth, role[1] AS initial FROM p
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM r
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS places FROM f GROUP BY conv_id
+), step(s, edit, t, name) AS (VALUES (0, 'I', 2, 'user'), (1, 'I', 2, 'user'), (3, 'I', 2, 'user'), (2, 'I', 3, 'assistant'),
+  (0, 'R', 2, 'user'), (1, 'R', 2, 'user'), (3, 'R', 2, 'user'), (2, 'R', 3, 'assistant'),
+  (0, 'D', 0, ''), (1, 'D', 1, ''), (2, 'D', 2, ''), (3, 'D', 3, ''), (0, 's', 1, ''), (0, 'u', 2, ''), (1, 'u', 2, ''), (3, 'u', 2, ''), (2, 'a', 3, '')
+), w(conv_id, place, s, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'rest': ''} FROM stats
+  UNION ALL
+  SELECT conv_id, place, t, min({'cost': cost, 'audit': audit, 'rest': rest}) FROM (
+    SELECT i.conv_id, i.place + 1 AS place, p.t, i.best.cost + CASE p.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+        + CASE WHEN p.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+      i.best.audit || CASE WHEN p.edit IN ('D', 'R') THEN p.edit ELSE 'K' END AS audit,
+      i.best.rest || CASE WHEN p.edit = 'D' THEN '' ELSE chr(10) || CASE WHEN p.edit = 'R' THEN p.name ELSE f.role END || ':' || f.text END AS rest
+    FROM (
+      SELECT conv_id, place, s, best FROM w
+      UNION ALL SELECT conv_id, place, t, {'cost': best.cost + 5, 'audit': best.audit || 'I', 'rest': best.rest || chr(10) || name || ':'} FROM w JOIN step USING (s) WHERE edit = 'I'
+      UNION ALL SELECT conv_id, place, 3, {'cost': best.cost + 10, 'audit': best.audit || 'II', 'rest': best.rest || chr(10) || 'user:' || chr(10) || 'assistant:'} FROM w WHERE s <> 2
+    ) i JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id AND f.place = i.place + 1
+    JOIN step p ON p.s = i.s AND (p.edit = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (p.edit = 'R' OR p.edit = f.initial)))
+  ) x GROUP BY conv_id, place, t
+), fin AS (
+  SELECT conv_id, min(best) AS best FROM (
+    SELECT conv_id, place, s, best FROM w
+    UNION ALL SELECT conv_id, place, 3, {'cost': best.cost + 5, 'audit': best.audit || 'I', 'rest': best.rest || chr(10) || 'assistant:'} FROM w WHERE s = 2
+    UNION ALL SELECT conv_id, place, 3, {'cost': best.cost + 10, 'audit': best.audit || 'II', 'rest': best.rest || chr(10) || 'user:' || chr(10) || 'assistant:'} FROM w WHERE s <> 2
+  ) e JOIN stats USING (conv_id) WHERE place = places AND s IN (0, 3) GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.rest[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats USING (conv_id) LEFT JOIN fin USING (conv_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {"op6_word_repeats": WORDS_SQL, "op3_knn": KNN_SQL, "op4_mixing": MIX_SQL, "op5_warc": WARC_SQL, "op8_exact_dedup": DEDUP_SQL}
+ORACLE_SQL |= {"op11_conversations": CONVERSATIONS_SQL}
