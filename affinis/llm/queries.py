@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, byte_repeats, conversations, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
+from affinis.llm import bpe, byte_repeats, conversations, decontaminate, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
 from affinis.llm.common import scratch_path, table
 
 #: The folder of the public tokenizers; a parameter of the environment.
@@ -67,11 +67,15 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.reports(conversations.repair(conversations.damaged(original)), original)
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_language, op3_knn, op4_mixing, op5_warc, op6_word_repeats, op7_byte_repeats, op8_exact_dedup, op9_toxicity,
-        op10_simhash, op11_conversations,
+        op10_simhash, op11_conversations, op12_decontaminate,
     )
 }
 
@@ -216,5 +220,30 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats USING (conv_id) LEFT JOIN fin USING (conv_id)
 """
 
+DECONTAMINATE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS x
+  FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS x
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)
+), h AS (
+  SELECT row, i, size, item FROM dw JOIN bw USING (size, x)
+), hits AS (
+  SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS j FROM h) GROUP BY row
+), items AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS names FROM (SELECT DISTINCT row, item FROM h) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
+"""
+
 ORACLE_SQL: dict[str, str] = {"op6_word_repeats": WORDS_SQL, "op3_knn": KNN_SQL, "op4_mixing": MIX_SQL, "op5_warc": WARC_SQL, "op8_exact_dedup": DEDUP_SQL}
-ORACLE_SQL |= {"op11_conversations": CONVERSATIONS_SQL}
+ORACLE_SQL |= {"op11_conversations": CONVERSATIONS_SQL, "op12_decontaminate": DECONTAMINATE_SQL}
