@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, byte_repeats, conversations, decontaminate, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
+from affinis.llm import bpe, byte_repeats, collocations, conversations, decontaminate, exact_dedup, knn, language_crf, mixing, simhash, toxicity, warc, word_repeats
 from affinis.llm.common import scratch_path, table
 
 #: The folder of the public tokenizers; a parameter of the environment.
@@ -71,11 +71,15 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_language, op3_knn, op4_mixing, op5_warc, op6_word_repeats, op7_byte_repeats, op8_exact_dedup, op9_toxicity,
-        op10_simhash, op11_conversations, op12_decontaminate,
+        op10_simhash, op11_conversations, op12_decontaminate, op13_collocations,
     )
 }
 
@@ -245,5 +249,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
 
+COLLOCATIONS_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, 6) t(size) WHERE len(w) >= size)
+  ) GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), k AS (
+  SELECT *, unnest(range(1, size)) AS cut FROM c
+), s AS (
+  SELECT k.lang, k.size, k.phrase, a, l.f AS l, r.f AS r, n, cut, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')
+  JOIN n ON n.lang = k.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), o AS (
+  SELECT lang, array_to_string(w[i:i + length - 1], ' ') AS phrase, max(a) AS over
+  FROM (SELECT lang, w, a, length, unnest(range(1, size - length + 2)) AS i FROM c, range(2, 5) t(length) WHERE length < size) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE over IS NULL OR 100 * over < 100 * a QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {"op6_word_repeats": WORDS_SQL, "op3_knn": KNN_SQL, "op4_mixing": MIX_SQL, "op5_warc": WARC_SQL, "op8_exact_dedup": DEDUP_SQL}
-ORACLE_SQL |= {"op11_conversations": CONVERSATIONS_SQL, "op12_decontaminate": DECONTAMINATE_SQL}
+ORACLE_SQL |= {"op11_conversations": CONVERSATIONS_SQL, "op12_decontaminate": DECONTAMINATE_SQL, "op13_collocations": COLLOCATIONS_SQL}
