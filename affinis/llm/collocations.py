@@ -10,11 +10,13 @@ are complete. As lengths overlap, few more scans are made than one length alone
 
 The state, a table of phrases with count, first step and the step in which the threshold was
 reached, is written anew after each step; it holds open phrases and complete frequent ones.
-What a scan needs to know of it is no broadcast table but two bitmaps of fixed size
-(``FILTER_BITS``) with the hashes of phrases that have reached the threshold, ever and in the last
-cycle. They only save work: what a scan reports in error is dropped by joins with the state,
-which decide exactly which phrases are active. Counts are summed in a chunk first, so a frequent
-word or phrase is one row a chunk.
+What a scan needs to know of it is no broadcast table but an array of fixed size (``FILTER_SIZE``)
+that says for the hash of a phrase in which step it reached the threshold. A place is set once and
+stays, so the place decides when a phrase that two others share it with becomes active: too early
+or for nothing, but for one full cycle all the same, and no phrase that should be counted is
+missed. Counts are exact whatever the size of the array. They are summed in a chunk first, so a
+frequent word or phrase is one row a chunk. Once the words are complete, the chunks are written
+again without the rare ones, which no frequent phrase can have.
 
 Defined results: a null text is empty, a null lang is ``und``; repeated rows count each; an
 empty table gives an empty result. Columns other than text and lang take no part.
@@ -33,12 +35,12 @@ from affinis.llm.common import blocks_of, in_small_batches, materialize, scratch
 
 #: Phrases of 2 to 5 words, counted 100 times at least; the best of a language.
 LONGEST, LEAST, BEST = 5, 100, 2000
-#: Shards of a cycle, and bits of a filter (a power of two; more phrases than bits make it useless, not wrong).
-SHARDS, FILTER_BITS = 4, 1 << 24
+#: Shards of a cycle, and places for hashes (a power of two, 32768 at least; with more phrases than places scans report more, not less).
+SHARDS, FILTER_SIZE = 3, 1 << 24
 BLOCK_BYTES, CHUNK_WORDS = 8 << 20, 200_000
 _TURN = 13  # bits by which the hash of each next word of a phrase is turned
 CORPUS = "shard int, lang string, n long, words array<string>, ids array<int>"
-COUNTS = "lang string, size int, phrase string, n long"
+COUNTS = "lang string, size int, phrase string, start int, n long"
 
 
 def _byte_table():
@@ -102,82 +104,105 @@ def _cut(shards: int):
 
 def _corpus(docs: DataFrame, shards: int) -> DataFrame:
     """The chunks, in a folder for each shard."""
-    path = scratch_path(docs.sparkSession, "collocation-chunks")
     texts = in_small_batches(docs).select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    texts.mapInArrow(_cut(shards), CORPUS).write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(CORPUS).parquet(path)
+    return _stored(texts.mapInArrow(_cut(shards), CORPUS))
 
 
-class Filters:
-    """Which hashes are of phrases that reached the threshold, ever and in the last cycle."""
+def _stored(chunks: DataFrame) -> DataFrame:
+    path = scratch_path(chunks.sparkSession, "collocation-chunks")
+    chunks.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return chunks.sparkSession.read.schema(CORPUS).parquet(path)
 
-    def __init__(self, ever: bytes, recent: bytes) -> None:
-        import numpy as np
 
-        self.ever, self.recent = (np.frombuffer(zlib.decompress(b), np.uint8) for b in (ever, recent))
-        self.mask = np.uint64(len(self.ever) * 8 - 1)
+def _turned(hashes, place: int):
+    import numpy as np
 
-    def has(self, bits, hashes):
-        import numpy as np
+    by = _TURN * place % 64
+    return hashes if not by else (hashes << np.uint64(by)) | (hashes >> np.uint64(64 - by))
 
-        at = hashes & self.mask
-        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+def _hashed(spelled: list[str]):
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
-def _turned(hashes, place: int):
+    return np.fromiter((xxh64_intdigest(w.encode(), 42) for w in spelled), np.uint64, len(spelled))
+
+
+def _times(times, hashes):
+    """When the places of the hashes were set, counted from 1; 0 for never."""
     import numpy as np
 
-    by = _TURN * place % 64
-    return hashes if not by else (hashes << np.uint64(by)) | (hashes >> np.uint64(64 - by))
+    return times[(hashes & np.uint64(len(times) - 1)).astype(np.int64)]
 
 
-def counted(lang: str, words, ids, filters: Filters | None, with_words: bool, longest: int) -> Iterator[tuple[int, object, object]]:
-    """(size, phrases, counts) of a chunk: its words, and the longer phrases that the filters leave open."""
+def counted(lang: str, words, ids, times, step: int, shards: int, longest: int) -> Iterator[tuple]:
+    """(size, phrases, first steps, counts) of a chunk: its words in the first cycle, and the longer phrases that are active."""
     import numpy as np
     import pyarrow.compute as pc
-    from xxhash import xxh64_intdigest
 
     inside = ids >= 0
-    if with_words:
-        counts = np.bincount(ids[inside], minlength=len(words))
-        yield 1, words, counts
-    if filters is None:
+    if step < shards:
+        yield 1, words, np.zeros(len(words), np.int32), np.bincount(ids[inside], minlength=len(words))
+    if not step:
         return
-    spelled = words.to_pylist()
-    of_words = np.fromiter((xxh64_intdigest(w.encode(), 42) for w in spelled), np.uint64, len(spelled))
-    hashes = np.append(of_words, np.uint64(0))[ids]
-    seed = np.uint64(xxh64_intdigest(lang.encode(), 42))
-    # at each place: the hash of the phrase of ``size`` words that begins there, and whether it may have reached the threshold
-    own = hashes ^ seed
-    ever = inside & filters.has(filters.ever, own)
+    hashes = np.append(_hashed(words.to_pylist()), np.uint64(0))[ids]
+    # of the phrase of ``size`` words that begins at a place: its hash, and the step after it reached the threshold (0: not yet)
+    own = hashes ^ _hashed([lang])[0]
+    known = np.where(inside, _times(times, own), 0)
     for size in range(2, longest + 1):
-        if not ever.any():
+        both = (known[:-1] > 0) & (known[1:] > 0)
+        if not both.any():
             return
-        recent = ever & filters.has(filters.recent, own)
-        both = ever[:-1] & ever[1:]
-        at = np.flatnonzero(both & (recent[:-1] | recent[1:]))
+        start = np.maximum(known[:-1], known[1:])
+        at = np.flatnonzero(both & (start > step - shards))
         if len(at):
-            key, first = ids[at].astype(np.int64), None
+            key = ids[at].astype(np.int64)
             for ahead in range(1, size):
-                pair = key * len(spelled) + ids[at + ahead]
-                _, first, key, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                _, first, key, counts = np.unique(key * len(words) + ids[at + ahead], return_index=True, return_inverse=True, return_counts=True)
             places = at[first]
-            yield size, pc.binary_join_element_wise(*[words.take(ids[places + j]) for j in range(size)], " "), counts
-        own = own[:-1] ^ _turned(hashes[size - 1 :], size - 1)
-        ever = both & filters.has(filters.ever, own)
+            yield size, pc.binary_join_element_wise(*[words.take(ids[places + j]) for j in range(size)], " "), start[places].astype(np.int32), counts
+        if size < longest:
+            own = own[:-1] ^ _turned(hashes[size - 1 :], size - 1)
+            later = _times(times, own)  # never before what the phrase consists of
+            known = np.where(both & (later > 0), np.maximum(later, start), 0)
 
 
-def _scan(filters, with_words: bool, longest: int):
+def _scan(sent, step: int, shards: int, longest: int):
     def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        known = Filters(*filters.value) if filters is not None else None
+        times = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for batch in batches:
             for lang, words, ids in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("ids")):
-                for size, phrases, counts in counted(lang, words.values, ids.values.to_numpy(), known, with_words, longest):
+                for size, phrases, start, counts in counted(lang, words.values, ids.values.to_numpy(), times, step, shards, longest):
                     n = len(phrases)
-                    columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(size, pa.int32()), n), phrases.cast(pa.string()), pa.array(counts)]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(size, pa.int32()), n), phrases.cast(pa.string()), pa.array(start), pa.array(counts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "start", "n"])
+
+    return run
+
+
+def _without_rare(sent):
+    """Chunks in which words that have not reached the threshold end the piece."""
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        times = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+        for batch in batches:
+            shards, langs, totals = (batch.column(c).to_pylist() for c in ("shard", "lang", "n"))
+            for shard, lang, n, words, ids in zip(shards, langs, totals, batch.column("words"), batch.column("ids")):
+                words, ids = words.values, ids.values.to_numpy()
+                kept = _times(times, _hashed(words.to_pylist()) ^ _hashed([lang])[0]) > 0
+                number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
+                ids = number[ids]
+                ids = ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)]  # one break in a row
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64()),
+                    pa.array([words.filter(pa.array(kept)).to_pylist()], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int32())),
+                ], ["shard", "lang", "n", "words", "ids"])
 
     return run
 
@@ -194,57 +219,46 @@ def _hash(longest: int) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), parts, F.xxhash64("lang"))
 
 
-def _filters(state: DataFrame, since: int, longest: int, bits: int) -> tuple[int, tuple[bytes, bytes]]:
-    """The last step in which a phrase that can grow reached the threshold, and bitmaps of such phrases: of all, and from step ``since`` on.
+def _note(times, state: DataFrame, step: int, longest: int) -> bool:
+    """Sets in ``times`` the places of the phrases that reached the threshold in this step, where none is set; whether there are any.
 
-    The driver gets the bitmaps only, in parts of 4096 bytes.
+    The driver gets a bitmap of fixed size, in parts of 4096 bytes.
     """
     import numpy as np
 
-    known = state.where(F.col("reached").isNotNull() & (F.col("size") < longest))
-    at = _hash(longest).bitwiseAND(F.lit(bits - 1)) + 1  # these functions number bits from 1
-    known = known.select("reached", (F.col("reached") >= since).alias("recent"), F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    found = known.groupBy("recent", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("reached").alias("last"))
-    maps, last = np.zeros((2, bits // 8), np.uint8), -1
-    for part in found.collect():
-        begin = (part.bucket - 1) * 4096
-        end = min(begin + 4096, bits // 8)
-        maps[int(part.recent), begin:end] |= np.frombuffer(part.bits, np.uint8)[: end - begin]
-        last = max(last, part["last"])
-    maps[0] |= maps[1]
-    return last, (zlib.compress(maps[0].tobytes(), 1), zlib.compress(maps[1].tobytes(), 1))
-
-
-def frequent(corpus: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    at = _hash(longest).bitwiseAND(F.lit(len(times) - 1)) + 1  # these functions number bits from 1
+    fresh = state.where((F.col("reached") == step) & (F.col("size") < longest))
+    fresh = fresh.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    found = fresh.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    for part in found:
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(part.bits, np.uint8), bitorder="little")) + (part.bucket - 1) * 32768
+        places = places[times[places] == 0]
+        times[places] = step + 1
+    return bool(found)
+
+
+def frequent(corpus: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, filter_size: int = FILTER_SIZE) -> DataFrame:
     """lang, size, phrase, n of every phrase of 1 to ``longest`` words that is counted ``least`` times or more."""
+    import numpy as np
+
     context = corpus.sparkSession.sparkContext
-    state, filters, step, last = None, None, 0, -1
+    times = np.zeros(filter_size, np.uint8)
+    state, step, last = None, 0, -1
     while step < shards or step <= last + shards:
-        sent = context.broadcast(filters) if last >= 0 else None
-        scan = _scan(sent, step < shards, longest)
-        found = corpus.where(F.col("shard") == step % shards).select("lang", "words", "ids").mapInArrow(scan, COUNTS)
-        found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-        none = F.lit(None).cast("int").alias("reached")
-        if sent is not None and step < shards:  # both words and longer phrases are taken from it
-            found = materialize(found, "collocation-counts")
-        grown = state
-        if step < shards:
-            words = found.where("size = 1").select("lang", "size", "phrase", F.lit(0).alias("start"), "n", none)
-            grown = words if state is None else grown.unionByName(words)
-        if sent is not None:
-            known = state.where(F.col("reached").isNotNull() & (F.col("size") < longest))
-            longer = found.where("size > 1").withColumn("a", F.expr("substring_index(phrase, ' ', size - 1)")).withColumn("b", F.expr("substring_index(phrase, ' ', 1 - size)"))
-            for part in ("a", "b"):
-                longer = longer.join(known.select("lang", F.col("phrase").alias(part), F.col("reached").alias(f"reached_{part}")), ["lang", part])
-            start = (F.greatest("reached_a", "reached_b") + 1).alias("start")
-            grown = grown.unionByName(longer.select("lang", "size", "phrase", start, "n", none).where(F.col("start") > step - shards))
+        sent = context.broadcast(zlib.compress(times.tobytes(), 1))
+        if step == shards:  # the words are complete
+            corpus = _stored(corpus.mapInArrow(_without_rare(sent), CORPUS))
+        grown = corpus.where(F.col("shard") == step % shards).select("lang", "words", "ids").mapInArrow(_scan(sent, step, shards, longest), COUNTS)
+        grown = grown.withColumn("reached", F.lit(None).cast("int"))
+        if state is not None:
+            grown = grown.unionByName(state)
         grown = grown.groupBy("lang", "size", "phrase").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
         reached = F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))
         open_ = F.col("start") + shards - 1 > step
         state = materialize(grown.withColumn("reached", reached).where(F.col("reached").isNotNull() | open_), "collocation-state")
-        last, filters = _filters(state, step + 1 - shards, longest, filter_bits)
-        if sent is not None:
-            sent.unpersist()
+        if _note(times, state, step, longest):
+            last = step
+        sent.unpersist()
         step += 1
     return state.where(F.col("reached").isNotNull()).select("lang", "size", "phrase", "n")
 
@@ -268,14 +282,14 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     return best.select("lang", "best.size", "phrase", "best.a", "best.l", "best.r", "best.n", "best.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, shards: int = SHARDS, filter_size: int = FILTER_SIZE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``best`` phrases of each language.
 
     Phrases that lie inside a longer one counted at least as often are dropped. Ranking keeps the
     best of each task before the shuffle.
     """
     corpus = _corpus(docs, shards)
-    phrases = materialize(frequent(corpus, least, longest, shards, filter_bits), "collocation-phrases")
+    phrases = materialize(frequent(corpus, least, longest, shards, filter_size), "collocation-phrases")
     marked = scored(phrases, corpus.groupBy("lang").agg(F.sum("n").alias("n")))
     spans = [(begin, length) for length in range(2, longest) for begin in range(longest - length + 1)]
     inner = F.array(*[F.when(F.col("size") >= max(begin + length, length + 1), _part(F.lit(begin + 1), F.lit(length))) for begin, length in spans] or [F.lit(None).cast("string")])

@@ -66,12 +66,12 @@ def made(seed, n=150):
     return rows + rows[:20] + [(None, "en"), ("", "de"), (" \t\n", None), ("oak " * 4000, "fr"), ("oak elm. " * 300, "fr")]
 
 
-@pytest.mark.parametrize("least,longest,best,shards,bits", [(3, 5, 2000, 4, 1 << 24), (8, 5, 7, 3, 64), (2, 3, 2000, 1, 1 << 15), (5, 2, 3, 2, 1 << 16), (4, 6, 50, 4, 1 << 10)])
-def test_best_equal_plain(spark, least, longest, best, shards, bits):
+@pytest.mark.parametrize("least,longest,best,shards,size", [(3, 5, 2000, 4, 1 << 24), (8, 5, 7, 3, 64), (2, 3, 2000, 1, 1 << 15), (5, 2, 3, 2, 1 << 16), (4, 6, 50, 4, 1 << 10), (3, 5, 2000, 3, 256)])
+def test_best_equal_plain(spark, least, longest, best, shards, size):
     rows = made(least)
     clashes = ["n", "a", "l", "r", "phrase", "size", "shard", "words", "ids", "score", "rank", "doc_id"]
     docs = spark.createDataFrame([(*r, *["c"] * len(clashes)) for r in rows], "text string, lang string, " + ", ".join(f"{c} string" for c in clashes)).repartition(6)
-    got = collocations.collocations(docs, least, longest, best, shards, bits)
+    got = collocations.collocations(docs, least, longest, best, shards, size)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted_rows(got.collect()) == sorted_rows(plain_best(rows, least, longest, best))
 
@@ -85,7 +85,7 @@ def test_edge_documents(spark):
 
 def test_large_products(spark):
     """Products that pass 64 bits."""
-    phrases = spark.createDataFrame([("x", 2, "a b", 10**12), ("x", 1, "a", 10**12 + 1), ("x", 1, "b", 10**13)], collocations.COUNTS)
+    phrases = spark.createDataFrame([("x", 2, "a b", 10**12), ("x", 1, "a", 10**12 + 1), ("x", 1, "b", 10**13)], "lang string, size int, phrase string, n long")
     totals = spark.createDataFrame([("x", 10**14 + 7)], "lang string, n long")
     (row,) = collocations.scored(phrases, totals).collect()
     assert row.score == 1000 * 10**12 * (10**14 + 7) // ((10**12 + 1) * 10**13)
@@ -96,31 +96,38 @@ def test_a_phrase_is_counted_for_one_cycle_from_its_step(spark, monkeypatch):
     told = []
     scan = collocations._scan
 
-    def watched(sent, with_words, longest):
-        told.append((sent is not None, with_words))
-        return scan(sent, with_words, longest)
+    def watched(sent, step, shards, longest):
+        told.append(step)
+        return scan(sent, step, shards, longest)
 
     monkeypatch.setattr(collocations, "_scan", watched)
     rows = [("oak elm ash fir. " * 20, "en")] * 40
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
     corpus = collocations._corpus(docs, 4)
     assert {r.shard for r in corpus.select("shard").distinct().collect()} == {0, 1, 2, 3}
-    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in collocations.frequent(corpus, 100).collect()}
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in collocations.frequent(corpus, 100, shards=4).collect()}
     assert got == plain_counts(rows, 100)[0]
-    assert told[1] == (True, True)  # pairs are counted while words still are
-    assert len(told) == 7  # words from step 0, 4 words from step 3 on, four steps each
+    # words reach the threshold in step 0, phrases of 4 words in step 3; those that could be longer are counted until step 7
+    assert told == list(range(8))
 
 
-def test_filters_may_err_on_one_side_only():
-    """Bits that are set by chance add phrases to a scan; the right ones are never left out."""
+def test_active_phrases_of_a_chunk():
+    """Places that are set by chance add phrases to a scan; a phrase is active for one cycle from the step after both its parts."""
     words = pa.array(["a", "b", "c"])
     ids = np.array([-1, 0, 1, 2, 0, 1, -1, 1, 0], np.int32)
-    import zlib
 
-    full, none = (zlib.compress(bytes([b]) * 8) for b in (255, 0))
-    got = {(size, p): n for size, phrases, counts in collocations.counted("en", words, ids, collocations.Filters(full, full), True, 3) for p, n in zip(phrases.to_pylist(), counts.tolist())}
-    assert got == {(1, "a"): 3, (1, "b"): 3, (1, "c"): 1, (2, "a b"): 2, (2, "b c"): 1, (2, "c a"): 1, (2, "b a"): 1, (3, "a b c"): 1, (3, "b c a"): 1, (3, "c a b"): 1}
-    assert [s for s, *_ in collocations.counted("en", words, ids, collocations.Filters(full, none), False, 3)] == []
+    def active(times, step, shards=2):
+        found = collocations.counted("en", words, ids, np.array(times, np.uint8), step, shards, 3)
+        return {(size, p): (first, n) for size, phrases, start, counts in found for p, first, n in zip(phrases.to_pylist(), start.tolist(), counts.tolist())}
+
+    single = {(1, "a"): (0, 3), (1, "b"): (0, 3), (1, "c"): (0, 1)}
+    pairs = {(2, "a b"): 2, (2, "b c"): 1, (2, "c a"): 1, (2, "b a"): 1, (3, "a b c"): 1, (3, "b c a"): 1, (3, "c a b"): 1}
+    assert active([0] * 8, 0) == single
+    assert active([0] * 8, 5) == {}
+    assert active([1] * 8, 1) == single | {k: (1, n) for k, n in pairs.items()}
+    assert active([1] * 8, 2) == {k: (1, n) for k, n in pairs.items()}
+    assert active([1] * 8, 3) == {}
+    assert active([3] * 8, 4) == {k: (3, n) for k, n in pairs.items()}
 
 
 def test_query(spark):
