@@ -71,6 +71,12 @@ def _pieces(texts: list[bytes]):
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(lower[data[kind == 2]])]), opens
 
 
+def _one_list(values):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _cut(shards: int):
     def run(batches: Iterable) -> Iterator:
         import numpy as np
@@ -95,7 +101,7 @@ def _cut(shards: int):
                     ids = np.insert(coded.indices.to_numpy().astype(np.int32), first, -1)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([turn % shards], pa.int32()), pa.array([lang], pa.string()), pa.array([end - at], pa.int64()),
-                        pa.array([coded.dictionary.cast(pa.large_string()).to_pylist()], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int32())),
+                        _one_list(coded.dictionary.cast(pa.string())), _one_list(pa.array(ids)),
                     ], ["shard", "lang", "n", "words", "ids"])
                     at, turn = end, turn + 1
 
@@ -201,7 +207,7 @@ def _without_rare(sent):
                 ids = ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)]  # one break in a row
                 yield pa.RecordBatch.from_arrays([
                     pa.array([shard], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64()),
-                    pa.array([words.filter(pa.array(kept)).to_pylist()], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int32())),
+                    _one_list(words.filter(pa.array(kept))), _one_list(pa.array(ids)),
                 ], ["shard", "lang", "n", "words", "ids"])
 
     return run

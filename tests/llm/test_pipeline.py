@@ -9,7 +9,8 @@ import corpus_pipeline
 from affinis.llm import language_crf, queries
 from affinis.llm.common import materialize, table
 from tests.llm.plain import later_windows, sorted_rows
-from tests.llm.test_texts import plain_components, plain_dedup, plain_encoding, plain_mix, plain_print
+from tests.llm.test_near_copies import plain_kept
+from tests.llm.test_texts import plain_dedup, plain_encoding, plain_mix
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -31,7 +32,7 @@ def test_stages(spark):
             stays = {r[0] for r in plain_dedup(before) if r[3]}
             want = [r for r in before if r[0] in stays]
         elif name == "near_duplicates":
-            stays = {c for _, _, c in plain_components([(r[0], plain_print(r[1])) for r in before])}
+            stays = set(plain_kept([(r[0], r[1]) for r in before]))
             want = [r for r in before if r[0] in stays]
         elif name == "mixed_sources":
             times = {r[0]: r[4] // r[1] if r[1] else 0 for r in plain_mix(before)}
