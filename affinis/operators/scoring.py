@@ -23,8 +23,9 @@ MODEL_OUTPUT = T.StructType([
 TERMS = {"basic": index_words, "lang": index_ngrams}
 DECIMALS = 6
 SHARPNESS = 20.0
-# Index entries of a block, distinct texts of a part, and texts scored at a time.
+# Index entries and institutions of a block, distinct texts of a part, and texts scored at a time.
 INDEX_BLOCK_ROWS = 1_000_000
+BLOCK_INSTITUTIONS = 20_000
 TEXT_PART_ROWS = 20_000
 SCORE_TEXTS = 256
 
@@ -138,32 +139,92 @@ def _best(k: int, id_type: pa.DataType):
     return run
 
 
-def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str = "text", k: int = TOP_CANDIDATES) -> DataFrame:
-    """``text_id, inst_id, score``: the cosine of each text with the institutions that can be among its ``k`` best.
+def _blocks(index: DataFrame, blocks: int, limit: int) -> DataFrame:
+    """``index`` with ``block``: institutions of one kind stand together, ``limit`` of them at most.
 
-    The index is cut into blocks of institutions, and the texts, which are
-    distinct, into parts. Every part meets every block, as rows of term hashes
-    against a packed block: texts travel once per block, and of all sums in a block
-    only those that can be among the best leave the task. Both sides of a task are
-    bounded by ``INDEX_BLOCK_ROWS`` and ``TEXT_PART_ROWS``, and no term is left out.
+    The kind of an institution is the term that weighs most, over all who have it, of those that at most ``limit`` have.
     """
-    blocks = max(1, -(-index.count() // INDEX_BLOCK_ROWS))
-    parts = max(1, -(-texts.count() // TEXT_PART_ROWS))
-    packed = index.select(
-        F.pmod(F.xxhash64("inst_id"), F.lit(blocks)).cast("int").alias("block"), F.xxhash64("term").alias("term"),
-        F.col("inst_id").cast("bigint").alias("inst_id"), "weight", "idf", "df",
-    ).groupBy("block").applyInArrow(_pack, "block int, packed binary")
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = texts.select(
-        "text_id", F.transform(TERMS[model](F.col(text_col)), lambda term: F.xxhash64(term)).alias("terms"),
-        F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part"),
-    ).filter(F.size("terms") > 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    id_field = texts.schema["text_id"]
+    shared = F.struct(F.col("df") <= limit, F.col("weight") * F.col("idf") * F.col("df"), F.col("term"))
+    heaviest = index.groupBy("inst_id").agg(F.max_by("term", F.when(F.col("df") > 1, shared)).alias("_kind"))
+    heaviest = heaviest.withColumn("_kind", F.coalesce("_kind", F.col("inst_id").cast("string")))
+    sizes = heaviest.groupBy("_kind").agg(F.ceil(F.count(F.lit(1)) / limit).alias("_parts"))
+    part = F.pmod(F.xxhash64("inst_id"), F.col("_parts"))
+    placed = salted_lookup(heaviest, sizes, "_kind", "inner", spread=["inst_id"])
+    placed = placed.select("inst_id", F.pmod(F.xxhash64("_kind", part), F.lit(blocks)).cast("int").alias("block"))
+    return salted_lookup(index, placed, "inst_id", "inner", spread=["term"])
+
+
+def _score_pairs(asked: DataFrame, packed: DataFrame, parts: int, k: int) -> DataFrame:
+    """``text_id, inst_id, p``: the sums of every asked (text_id, block, terms) that can be among a text's best of the block."""
+    id_field = asked.schema["text_id"]
     schema = T.StructType([T.StructField("text_id", id_field.dataType), T.StructField("inst_id", T.LongType()),
                            T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
     id_type = pa.string() if isinstance(id_field.dataType, T.StringType) else pa.int64()
-    hits = asked.groupBy("block", "part").cogroup(packed.groupBy("block", "part")).applyInArrow(_best(k, id_type), schema)
-    length = F.sqrt(F.sum("q").over(Window.partitionBy("text_id")))
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")).select("text_id", "terms", "part", "block")
+    return asked.groupBy("block", "part").cogroup(packed.groupBy("block", "part")).applyInArrow(_best(k, id_type), schema)
+
+
+def _block_max(asked: DataFrame, placed: DataFrame, packed: DataFrame, parts: int, k: int, report: dict | None) -> DataFrame:
+    """``text_id, inst_id, p, q`` (q: a text's squared length), scoring only blocks that can hold one of a text's best.
+
+    A table has each block's largest value of each term; their sum over a text's terms bounds what any
+    institution of the block reaches. Every text is scored in the block of its highest bound
+    first. Its k-th best sum there is a floor: blocks whose bound is below it are skipped.
+    """
+    value, share = F.col("weight") * F.col("idf"), F.first("idf") * F.first("idf") * F.count(F.lit(1)) / F.first("df")
+    tops = placed.groupBy("term", "block").agg(F.max(value).alias("top"), share.alias("share"))
+    tops = tops.groupBy("term").agg(F.collect_list(F.struct("block", "top", "share")).alias("tops"))  # one entry a block
+    reach = salted_lookup(asked.select("text_id", F.explode("terms").alias("term")), tops, "term", "inner", spread=["text_id"])
+    reach = reach.select("text_id", F.explode("tops").alias("t")).groupBy("text_id", "t.block").agg(F.sum("t.top").alias("bound"), F.sum("t.share").alias("q"))
+    own = Window.partitionBy("text_id")
+    order = F.row_number().over(own.orderBy(F.desc("bound"), "block"))
+    plan = materialize(reach.select("text_id", "block", "bound", F.sum("q").over(own).alias("q"), order.alias("place")), "bounds")
+    first = materialize(_score_pairs(plan.filter("place = 1").join(asked, "text_id"), packed, parts, k), "first-block")
+    kth = F.row_number().over(own.orderBy(F.desc("p"), "inst_id"))
+    floors = first.withColumn("_kth", kth).filter(F.col("_kth") == k).select("text_id", F.col("p").alias("floor"))
+    # scores are rounded after division by the length: keep what rounding could lift
+    slack = 2 * 10.0**-DECIMALS * (F.sqrt("q") + F.col("bound"))
+    rest = plan.filter("place > 1").join(floors, "text_id", "left").filter(F.col("floor").isNull() | (F.col("bound") + slack >= F.col("floor")))
+    if report is not None:
+        rest = materialize(rest, "rest")
+        texts, pairs = plan.agg(F.count_distinct("text_id"), F.count(F.lit(1))).first()
+        report.update(pairs=pairs, scored=texts + rest.count())
+    hits = first.unionByName(_score_pairs(rest.select("text_id", "block").join(asked, "text_id"), packed, parts, k)).drop("q")
+    return hits.join(plan.filter("place = 1").select("text_id", "q"), "text_id")
+
+
+def term_scores(texts: DataFrame, index: DataFrame, model: str, text_col: str = "text", k: int = TOP_CANDIDATES,
+                report: dict | None = None) -> DataFrame:
+    """``text_id, inst_id, score``: the cosine of each text with the institutions that can be among its ``k`` best.
+
+    The index is cut into blocks of institutions, and the texts, which are
+    distinct, into parts. A part meets a block as rows of term hashes against a
+    packed block, and of all sums in a block only those that can be among the best
+    leave the task. With several blocks, a text meets only those whose bound
+    reaches its ``k``-th best so far (``_block_max``); ``report`` then gets the
+    numbers of ``pairs`` of a text and a block with a common term, and of those
+    ``scored``. A task is bounded by ``INDEX_BLOCK_ROWS``, ``BLOCK_INSTITUTIONS``
+    and ``TEXT_PART_ROWS``, and no term is left out.
+    """
+    rows, institutions = index.agg(F.count(F.lit(1)), F.count_distinct("inst_id")).first()
+    blocks = max(1, -(-rows // INDEX_BLOCK_ROWS), -(-institutions // BLOCK_INSTITUTIONS))
+    parts = max(1, -(-texts.count() // TEXT_PART_ROWS))
+    limit = max(1, BLOCK_INSTITUTIONS // 8)
+    placed = index.withColumn("block", F.lit(0)) if blocks == 1 else _blocks(index, blocks, limit)
+    placed = placed.select(
+        F.col("block").cast("int").alias("block"), F.xxhash64("term").alias("term"), F.col("inst_id").cast("bigint").alias("inst_id"), "weight", "idf", "df"
+    )
+    asked = texts.select("text_id", F.transform(TERMS[model](F.col(text_col)), lambda term: F.xxhash64(term)).alias("terms")).filter(F.size("terms") > 0)
+    if blocks > 1:
+        placed, asked = materialize(placed, "placed"), materialize(asked, "asked")
+    packed = placed.groupBy("block").applyInArrow(_pack, "block int, packed binary")
+    if blocks > 1:
+        hits = _block_max(asked, placed, materialize(packed, "packed"), parts, k, report)
+        length = F.sqrt("q")
+    else:
+        hits = _score_pairs(asked.withColumn("block", F.lit(0)), packed, parts, k)
+        length = F.sqrt(F.sum("q").over(Window.partitionBy("text_id")))
     scored = hits.select("text_id", "inst_id", F.round(F.col("p") / length, DECIMALS).alias("score"))
     return topk_candidates(scored, k).drop("rank")
 

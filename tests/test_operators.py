@@ -115,7 +115,8 @@ def test_scorers_equal_all_pairs(spark, monkeypatch):
     for model in ("basic", "lang"):
         index = session.materialize(scoring.fit_score_index(spark.createDataFrame(train, "inst_id bigint, text string"), model))
         expected = plain_scores(train, texts, cut[model])
-        for blocks, parts in ((1_000_000, 20_000), (50, 7)):
+        for blocks, parts in ((1_000_000, 20_000), (50, 7), (20, 20_000)):
+            monkeypatch.setattr(scoring, "BLOCK_INSTITUTIONS", 20_000 if blocks > 20 else 5)
             monkeypatch.setattr(scoring, "INDEX_BLOCK_ROWS", blocks)
             monkeypatch.setattr(scoring, "TEXT_PART_ROWS", parts)
             got = scoring.score_texts(frame, index, model, sharpness=None).collect()
@@ -123,6 +124,22 @@ def test_scorers_equal_all_pairs(spark, monkeypatch):
             assert all(abs(r.score - expected[r.text_id][r["rank"] - 1][2]) < 2e-6 for r in got)
 
 
+def test_blocks_out_of_reach_are_skipped(spark, monkeypatch):
+    """Institutions in clusters of their own terms: a text is scored in few blocks, with the same result."""
+    rng = random.Random(9)
+    train = [(i, f"topic{i // 60} site{i % 7} " + " ".join(rng.sample([f"c{i // 60}x{w}" for w in range(30)], 5))) for i in range(1200)]
+    texts = [(i, f"topic{i % 20} site{rng.randrange(7)} " + " ".join(rng.sample([f"c{i % 20}x{w}" for w in range(30)], 4))) for i in range(80)]
+    index = session.materialize(scoring.fit_score_index(spark.createDataFrame(train, "inst_id bigint, text string"), "basic"))
+    frame = spark.createDataFrame(texts, "text_id bigint, text string")
+    expected = plain_scores(train, texts, lambda t: set(t.split()))
+    monkeypatch.setattr(scoring, "BLOCK_INSTITUTIONS", 60 * 8)
+    monkeypatch.setattr(scoring, "INDEX_BLOCK_ROWS", 600)
+    report = {}
+    got = scoring.topk_candidates(scoring.term_scores(frame, index, "basic", report=report)).collect()
+    assert sorted((r.text_id, r["rank"], r.inst_id) for r in got) == sorted((t, a, b) for t, v in expected.items() for a, b, _ in v)
+    assert report["scored"] < report["pairs"] / 3, report
+
+
 def test_frequent_terms_are_enough(spark):
     """A text whose terms all belong to very many institutions still finds the one that has all of them."""
     train = [(i, f"alpha{i % 2} beta{i // 2 % 2} gamma{i // 4 % 2}" if i else "delta") for i in range(1, 2401)] + [(0, "delta")]
