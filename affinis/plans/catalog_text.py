@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinis import fixed_values as fixed
 from affinis.functions import text
-from affinis.operators import dims, features, language, matching, synth
+from affinis.operators import countries, dims, features, language, matching, synth
 from affinis.operators.evaluate import round_ratio as ratio
 from affinis.operators.scoring import soft_max as to_shares
 from affinis.plans.bindings import (
@@ -29,8 +29,8 @@ SELECT affiliation_string, array_to_string(list_sort(list_distinct(list_intersec
   regexp_extract_all(affiliation_string, '\\w+'), (SELECT list(n_name) FROM nation)))), '|') AS countries FROM u""")
 def join_country_regex(t: Tables):
     texts = mention(t).select("affiliation_string").distinct()
-    found = text.countries_in_text(F.col("affiliation_string"), nation_patterns(t))
-    return texts.select("affiliation_string", listed(found).alias("countries"))
+    names = t.nation.select(F.col("n_name").alias("country"), F.col("n_name").alias("pattern"))
+    return countries.with_countries(texts, names, "affiliation_string").select("affiliation_string", listed(F.col("countries")).alias("countries"))
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
