@@ -31,7 +31,7 @@ from affinis.llm.hashing import BYTE_VALUES, LETTERS, Rolling, joined, runs
 SAMPLE, SAMPLE_BYTES = 250, 6 << 20
 TABLE_BITS = 18
 UNKNOWN = "und"
-BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 18
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 17
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
