@@ -69,11 +69,10 @@ def _pack(key, table):
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-class _Block:
-    """One block of the index: weights of institutions by term, dense for terms that many of them have."""
+class IndexBlock:
+    """One block of an index in order of the term: weights of institutions, dense for terms that many of them have."""
 
-    def __init__(self, packed: bytes) -> None:
-        table = pa.ipc.open_stream(packed).read_all()
+    def __init__(self, table: pa.Table) -> None:
         term, inst, weight, idf, df = (table.column(c).to_numpy() for c in ("term", "inst_id", "weight", "idf", "df"))
         self.institutions, self.at = np.unique(inst, return_inverse=True)
         self.terms, self.start, self.size = np.unique(term, return_index=True, return_counts=True)
@@ -113,7 +112,7 @@ def _best(k: int, id_type: pa.DataType):
     def run(key, texts, packed):
         columns: list[list] = [[], [], [], []]
         if packed.num_rows and texts.num_rows:
-            block = _Block(packed.column("packed")[0].as_py())
+            block = IndexBlock(pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all())
             ids, lists = texts.column("text_id").combine_chunks(), texts.column("terms").combine_chunks()
             sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
             ends = np.cumsum(sizes)
@@ -260,9 +259,10 @@ def score_external(texts: DataFrame, predict: Column, model: str, k: int = TOP_C
 
     ``predict`` is a struct column of two equally long lists, ``labels`` and
     ``scores``, per text; a ``predict_batch_udf`` with return type
-    ``MODEL_OUTPUT`` gives one in Arrow batches.
+    ``MODEL_OUTPUT`` gives one in Arrow batches (``bayes.predictor`` is one). Labels
+    whose score is null or NaN stand for nothing and are left out.
     """
     rows = texts.select("text_id", predict.alias("p")).select(
         "text_id", F.explode(F.arrays_zip("p.labels", "p.scores")).alias("c")
-    ).select("text_id", F.col("c.labels").alias("inst_id"), F.col("c.scores").alias("score"))
+    ).select("text_id", F.col("c.labels").alias("inst_id"), F.col("c.scores").alias("score")).filter("score is not null and not isnan(score)")
     return topk_candidates(rows, k).select("text_id", F.lit(model).alias("model"), "rank", "inst_id", "score")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis import fixed_values as fixed
 from affinis.functions.draws import draw_unit
 from affinis.functions.text import clean_match_text, country_patterns, index_words
-from affinis.operators import dims, ensemble, evaluate, scoring
+from affinis.operators import bayes, dims, ensemble, evaluate, scoring
 from affinis.operators.relational import common_name_ids
 from affinis.plans import resolve
 from affinis.plans.bindings import (
@@ -300,19 +297,10 @@ p AS (SELECT text_id, inst_id, round(e / sum(e) OVER (PARTITION BY text_id), 6)
 SELECT text_id, 'external' AS model, CAST(row_number() OVER (PARTITION BY text_id ORDER BY score DESC, inst_id) AS INTEGER) AS rank, inst_id, score
 FROM p QUALIFY rank <= 2""")
 def score_external(t: Tables):
-    """A naive Bayes classifier of Spark ML, fitted on the labelled strings, as the model of one's own."""
-    labelled = t.once("labelled", lambda: mention(t).select("inst_id", index_words(F.col("affiliation_string")).alias("words")))
-    labels = [r[0] for r in labelled.select("inst_id").distinct().orderBy("inst_id").collect()]  # one per class of the model
-    number = F.array_position(F.array(*map(F.lit, labels)), F.col("inst_id")) - 1
-    cut = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2**20, binary=True).fit(labelled)
-    model = NaiveBayes(labelCol="label", smoothing=1.0).fit(cut.transform(labelled).select("features", number.cast("double").alias("label")))
-    texts = cut.transform(mention_texts(t).select("text_id", index_words(F.col("text")).alias("words")))
-    shares = F.transform(vector_to_array("probability"), lambda x: F.round(x, 6))
-    best = F.slice(F.array_sort(F.transform(
-        shares, lambda x, i: F.struct((-x).alias("less"), F.element_at(F.array(*map(F.lit, labels)), i + 1).cast("bigint").alias("id")))), 1, 2)
-    chosen = model.transform(texts).select("text_id", best.alias("best"))
-    predict = F.struct(F.col("best.id").alias("labels"), F.transform("best.less", lambda x: -x).alias("scores"))
-    return scoring.score_external(chosen, predict, "external", 2)
+    """A naive Bayes classifier fitted on the labelled strings, stored, and applied as a model of one's own."""
+    folder = bayes.fit(mention(t).select("inst_id", index_words(F.col("affiliation_string")).alias("words")))
+    texts = mention_texts(t).select("text_id", index_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    return scoring.score_external(texts, bayes.predictor(folder, 2)(bayes.asked(F.col("words"))), "external", 2)
 
 
 # ========================================================== gate and rules ==
