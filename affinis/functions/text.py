@@ -83,23 +83,24 @@ def _script_folds() -> dict[str, str]:
     return folds
 
 
-def _replace_all(c: Column, table: Mapping[str, str]) -> Column:
-    single = {k: v for k, v in table.items() if len(v) == 1}
-    for key, value in table.items():
-        if len(value) > 1:
-            c = F.replace(c, F.lit(key), F.lit(value))
-    return F.translate(c, "".join(single), "".join(single.values())) if single else c
+def _pairs(table: Mapping[str, str]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("old"), F.lit(v).alias("new")) for k, v in table.items()])
 
 
 def ascii_fold(c: Column) -> Column:
     """Transliterate to ASCII. Letters of scripts without a rule are dropped.
 
-    Texts that are plain ASCII already skip every table.
+    Texts that are plain ASCII already skip every table, and texts without a Greek or Cyrillic
+    letter the replacements of those.
     """
-    table = _compatible_folds() | MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
-    # symbols are rare: one search spares most texts their replacements
-    plain = F.when(c.rlike(f"[{''.join(SYMBOL_FOLDS)}]"), _replace_all(c, SYMBOL_FOLDS)).otherwise(c)
-    folded = F.regexp_replace(_replace_all(plain, table), NON_ASCII, "")
+    table = SYMBOL_FOLDS | _compatible_folds() | MULTI_LETTER_FOLDS | _latin_folds() | _script_folds()
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    scripts = {k: v for k, v in table.items() if len(v) > 1 and "\u0370" <= k <= "\u052f"}
+    others = {k: v for k, v in table.items() if len(v) > 1 and k not in scripts}
+    # one range as the test: a class that lists letters is slower than the replacements it spares
+    pairs = F.when(c.rlike("[\\u0370-\\u052F]"), _pairs(others | scripts)).otherwise(_pairs(others))
+    spelled = F.aggregate(pairs, c, lambda text, pair: F.replace(text, pair.old, pair.new))
+    folded = F.regexp_replace(F.translate(spelled, "".join(single), "".join(single.values())), NON_ASCII, "")
     return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 
 
