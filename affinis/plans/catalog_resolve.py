@@ -555,6 +555,6 @@ def stream_resolve(t: Tables):
         return resolve.resolve_affiliations(
             batch, inst, common, resolve.index_scorer(indexes), nations, departments, places)
 
-    resolve_stream.stream_resolve(t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", run).awaitTermination()
+    resolve_stream.stream_resolve(t.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", run, memory=f"{root}/known").awaitTermination()
     out = resolve_stream.read_resolved(t.spark, f"{root}/out")
     return out.select("mention_id", "affiliation_string", shown(F.col("predictions")).alias("predictions"))
