@@ -37,6 +37,21 @@ def random_rank(df: DataFrame, id_col: str, text_col: str, keep: int, seed: int
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
 
 
+def weighted_sample(df: DataFrame, id_col: str, weight_col: str, n: int, key: list[str], seed: int = 20) -> DataFrame:
+    """``n`` rows of every id, drawn without replacement in proportion to their weight.
+
+    Every row draws the time of an exponential clock that runs at its weight, and the ``n`` earliest
+    stay: the next row is always drawn by the weights of those left. The draw hangs on
+    the row's ``key``, so reruns agree, and as in ``random_rank`` a task sends at most ``n`` rows of an id.
+    Rows whose weight is null, NaN, infinite or not above zero are never drawn.
+    """
+    weight = F.col(weight_col).cast("double")
+    drawable = (weight > 0) & (weight < float("inf"))  # NaN is above infinity
+    clock = -F.log(1 - draw_unit(seed, *key)) / weight
+    w = Window.partitionBy(id_col).orderBy(clock, *key)
+    return df.filter(drawable).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+
+
 def _extra_copies(id_col: str, rn: Column, k: Column, n: int, seed: int) -> Column:
     """How many of the ``n - k`` draws with replacement land on row ``rn`` of ``k``."""
     draws = F.sequence(F.lit(1), F.lit(n) - k)

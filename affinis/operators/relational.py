@@ -150,7 +150,27 @@ def id_count(df: DataFrame, id_col: str, spread: list[str] | None = None) -> Dat
     return skew_join(df, counts, [id_col], "left", spread)
 
 
+def first_candidate(df: DataFrame, key: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``value`` of the first row of every key in the order given; combined map-side, no window."""
+    return df.groupBy(key).agg(F.min(F.struct(*order, F.col(value).alias("_value")))["_value"].alias(out))
+
+
+def name_count(df: DataFrame, keys: Sequence[str], out: str, spread: list[str]) -> DataFrame:
+    """Number of rows with the same keys on every row; counts are joined back, so that hot keys are split."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return skew_join(df, counts, list(keys), "left", spread)
+
+
+def explode_strings(df: DataFrame, id_col: str, pairs: Column, out: str = "original_affiliation") -> DataFrame:
+    """One row per generated (string, key) pair of a list, with the string; an empty list keeps its row."""
+    return df.select(id_col, F.explode_outer(pairs).alias("_pair")).select(id_col, F.col("_pair")[0].alias(out))
+
+
 # ------------------------------------------------------------ set queries --
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    return union_rows(*frames).distinct()
+
+
 def union_rows(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from affinis import fixed_values as fixed
 from affinis.functions import text
 from affinis.operators import balance, dims, features, relational as rel, synth
-from affinis.operators.skew import skew_join
 from affinis.plans.bindings import (
     Tables, institution, listed, nation_region, query, sql_clean, sql_draw, sql_draw_int, sql_fold,
 )
@@ -268,8 +267,7 @@ def explode_strings(t: Tables):
     pairs = F.array(*[
         F.array(F.concat("s_name", F.lit(sep), "n_name"), F.lower("s_name")) for sep in (", ", " ")
     ], F.array("s_name", F.lower("s_name")))
-    exploded = rows.select("s_suppkey", F.explode_outer(pairs).alias("pair"))
-    return exploded.select("s_suppkey", F.col("pair")[0].alias("original_affiliation"))
+    return rel.explode_strings(rows, "s_suppkey", pairs)
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0")
@@ -511,12 +509,23 @@ def window_random_rank(t: Tables):
     return balance.random_rank(order_text(t), "id", "t", 15)
 
 
+SQL_CLOCK = f"-ln(1 - {sql_draw_int(20, *LINE_KEY)} / 4294967296.0::DOUBLE) / (l_linenumber * l_linenumber)"
+
+
+@query(f"""WITH r AS (SELECT {', '.join(LINE_KEY)},
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY {SQL_CLOCK}, {', '.join(LINE_KEY)}) AS rn FROM lineitem)
+SELECT {', '.join(LINE_KEY)}, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 75""")
+def weighted_sample(t: Tables):
+    rows = t.lineitem.select(*LINE_KEY).withColumn("weight", F.col("l_linenumber") * F.col("l_linenumber"))
+    return balance.weighted_sample(rows, "l_suppkey", "weight", 75, LINE_KEY).drop("weight")
+
+
 @query("""SELECT l_orderkey AS text_id, min_by(l_partkey, l_linenumber * 100000000 + l_partkey) AS first_fit FROM lineitem
 JOIN part ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY 1""")
 def window_first_candidate(t: Tables):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).filter("p_size > 10")
-    first = F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"]
-    return rows.groupBy(F.col("l_orderkey").alias("text_id")).agg(first.alias("first_fit"))
+    rows = rows.withColumnRenamed("l_orderkey", "text_id")
+    return rel.first_candidate(rows, "text_id", ["l_linenumber", "l_partkey"], "l_partkey", "first_fit")
 
 
 @query("""SELECT l_orderkey AS text_id, l_linenumber, p_name AS display_name, l_partkey,
@@ -524,8 +533,7 @@ def window_first_candidate(t: Tables):
 def window_name_count(t: Tables):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("text_id"), "l_linenumber", F.col("p_name").alias("display_name"), "l_partkey")
-    counts = rows.groupBy("text_id", "display_name").agg(F.count(F.lit(1)).alias("same_name"))
-    return skew_join(rows, counts, ["text_id", "display_name"], "left", spread=["l_linenumber", "l_partkey"])
+    return rel.name_count(rows, ["text_id", "display_name"], "same_name", spread=["l_linenumber", "l_partkey"])
 
 
 @query(f"""WITH r AS (SELECT {', '.join(LINE_KEY)}, row_number() OVER (ORDER BY {sql_draw(1, *LINE_KEY)}, {', '.join(LINE_KEY)}) - 1 AS idx
@@ -610,11 +618,13 @@ def union_gold(t: Tables):
 
 @query(f"""WITH p AS (SELECT s_suppkey AS place_id, s_name AS city, n_name AS region, r_name AS country FROM supplier
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-a AS (SELECT city || ', ' || country AS t FROM p ORDER BY {sql_draw(1, 'place_id')}, place_id LIMIT 30),
-b AS (SELECT city || ', ' || region || ', ' || country AS t FROM p ORDER BY {sql_draw(2, 'place_id')}, place_id LIMIT 30)
+a AS (SELECT city || ', ' || country AS t FROM p ORDER BY {sql_draw(1, 'place_id')}, place_id LIMIT 1500),
+b AS (SELECT city || ', ' || region || ', ' || country AS t FROM p ORDER BY {sql_draw(2, 'place_id')}, place_id LIMIT 1500)
 SELECT t AS original_affiliation FROM a UNION SELECT t FROM b""")
 def union_empty_places(t: Tables):
-    return synth.empty_place_strings(supplier_places(t), 30)
+    places = supplier_places(t)
+    short = synth.place_sample(places, ["city", "country"], synth.EMPTY_PLACES, 1)
+    return rel.union_distinct(short, synth.place_sample(places, ["city", "region", "country"], synth.EMPTY_PLACES, 2))
 
 
 def supplier_places(t: Tables):
