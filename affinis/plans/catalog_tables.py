@@ -12,7 +12,7 @@ from affinis.plans.bindings import (
     Tables, institution, listed, nation_region, query, sql_clean, sql_draw, sql_draw_int, sql_fold,
 )
 from affinis.session import scratch_path
-from affinis.sources import readers, writers
+from affinis.sources import readers, record_shards, writers
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
@@ -117,6 +117,18 @@ def sink_shards(t: Tables):
     )
 
 
+@query(f"""WITH {SQL_LINE_SPLIT}
+SELECT split || '/' || (idx // 1000) AS shard, idx, l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS features FROM indexed""")
+def sink_record_shards(t: Tables):
+    """Shards of binary records, written and read back."""
+    path = scratch_path(t.spark, "records")
+    shard = F.concat_ws("/", "split", F.col("shard").cast("int"))
+    rows = line_shards(t).select(shard.alias("shard"), "idx", F.array(*[F.col(c).cast("bigint") for c in LINE_KEY]).alias("features"))
+    record_shards.write_records(rows, path)
+    back = record_shards.read_shards(t.spark, path, "shard string, idx bigint, features array<bigint>")
+    return back.select("shard", "idx", listed("features").alias("features"))
+
+
 @query(f"""WITH {SQL_LINE_SPLIT}
 SELECT split, idx // 512 AS batch, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS part_sum
 FROM indexed GROUP BY 1, 2 HAVING count(*) = 512""")
