@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from affinis import fixed_values as fixed
 from affinis.functions.draws import draw_unit
 from affinis.functions.text import clean_match_text, country_patterns, index_words
-from affinis.operators import bayes, dims, ensemble, evaluate, scoring
+from affinis.operators import bayes, dims, ensemble, evaluate, linear, scoring
 from affinis.operators.relational import common_name_ids
 from affinis.plans import resolve
 from affinis.plans.bindings import (
@@ -303,6 +303,14 @@ def score_external(t: Tables):
     return scoring.score_external(texts, bayes.predictor(folder, 2)(bayes.asked(F.col("words"))), "external", 2)
 
 
+@query(None)
+def score_linear(t: Tables):
+    """Logistic regression learned from all labelled strings in rounds, stored, and applied to every distinct string."""
+    folder = linear.fit(mention(t).select("inst_id", index_words(F.col("affiliation_string")).alias("words")))
+    texts = mention_texts(t).select("text_id", index_words(F.col("text")).alias("words"))
+    return scoring.score_external(texts, linear.predictor(folder, 2)(linear.asked(F.col("words"))), "linear", 2)
+
+
 # ========================================================== gate and rules ==
 SQL_GATE_MENTION = f"""{SQL_MENTION},
 gate_mention AS (SELECT mention_id, inst_id, CASE kind
