@@ -2,6 +2,7 @@
 
 import pytest
 
+from affinis.operators import ensemble, skew
 from affinis.plans import catalog_resolve, resolve
 from affinis.plans.bindings import Tables
 
@@ -46,3 +47,34 @@ def test_texts_with_white_space_around_them_are_cleaned_by_themselves(spark):
     got = resolve.describe_texts(spark.createDataFrame(texts, "text_id long, raw string"), {"Chile": ["Chile"]})
     want = {1: ("UniversityAandB",) * 2, 2: ("UniversityAandB",) * 2, 3: ("x", "x"), 4: (None, None), 5: ("", "")}
     assert {r.text_id: (r.clean, r.clean_stripped) for r in got.collect()} == want
+
+
+def test_rows_with_their_texts_are_not_moved_or_sorted(tables, capsys):
+    """Institutions, few by a bounded count, come to the rows; all rules work in the order that the join by text left."""
+    flagged = ensemble.flag_removals(ensemble.resolve_same_name(catalog_resolve.order_predictions(tables)))
+    capsys.readouterr()
+    flagged.explain()
+    plan = capsys.readouterr().out
+    assert not [line for line in plan.splitlines() if "Sort [" in line and "display_name" in line], plan
+    assert "BroadcastHashJoin [inst_id" in plan and "Exchange hashpartitioning(inst_id" not in plan, plan
+
+
+def test_a_dimension_beyond_the_bound_is_salted(tables, monkeypatch):
+    def rows():
+        found = catalog_resolve.order_candidates(Tables(tables.spark, tables.path))
+        return sorted(str(sorted(r.asDict().items())) for r in found.collect())
+
+    few = rows()
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 59)
+    assert few and rows() == few
+
+
+def test_one_of_a_name_stays(spark):
+    rows = [
+        (1, "A", 0, 5, "xRomex", "Rome"), (1, "A", 1, 6, "xRomex", "Bern"), (1, "B", 1, 7, "xRomex", "Bern"),
+        (2, "A", 1, 6, "x", "Rome"), (2, "A", 1, 5, "x", "Bern"), (2, None, 0, 9, "x", None), (2, None, 1, 4, "x", None),
+        (3, None, 1, 8, "x", "y"), (3, "C", 0, 1, "xy", None),
+    ]
+    frame = spark.createDataFrame(rows, "text_id long, display_name string, pos int, inst_id long, clean string, clean_city string")
+    got = sorted((r.text_id, r.inst_id) for r in ensemble.resolve_same_name(frame).collect())
+    assert got == [(1, 5), (1, 7), (2, 5), (2, 9), (3, 1), (3, 8)]
