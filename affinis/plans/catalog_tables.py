@@ -268,7 +268,9 @@ FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label FROM documen
 GROUP BY ALL""")
 def explode_labels(t: Tables):
     labels = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("label"), F.col("lang").alias("iso639")))
-    rows = t.wide_documents.filter("text is not null").select("doc_id", labels.alias("labels"))
+    # texts are dealt by id while each is one row; labels are counted in that task
+    texts = t.documents.filter("text is not null").select("doc_id", "text", "lang").repartition("doc_id")
+    rows = texts.select("doc_id", labels.alias("labels"))
     return dims.explode_labels(rows, "doc_id").groupBy("doc_id", "label", "iso639").agg(F.count(F.lit(1)).alias("n"))
 
 
