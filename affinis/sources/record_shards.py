@@ -3,8 +3,8 @@
 A record is its length as 8 bytes, a check sum of those, the payload, and a check sum of that; the payload
 is the usual message of named lists of whole numbers that trainers read. Every task writes files of its own,
 one per run of equal ``shard``, and nothing is visible before the driver has written the list of all of
-them: a lost, repeated or aborted task leaves no part of a shard to be read. Reading makes a partition of
-every file and decodes the columns of the given schema only.
+them: a lost, repeated or aborted task leaves no part of a shard to be read. The list has the sizes of the files;
+reading makes partitions of about ``PARTITION_BYTES``, of small files many, and decodes the columns of the given schema only.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SHARD = "shard"
 BATCH_RECORDS = 1000
+# Bytes of a partition that is read, what opening a file counts as, and partitions that files are spread over at least.
+PARTITION_BYTES = 1 << 25
+OPEN_BYTES = 1 << 17
+LEAST_PARTITIONS = 64
 # --- fixed values of the record format: the reversed polynomial and the mask of the check sum ---
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 LISTS = T.ArrayType(T.LongType())
@@ -78,6 +82,46 @@ def encode(row: dict[str, list[int] | int | None]) -> bytes:
     return _field(1, b"".join(entries))
 
 
+@lru_cache(maxsize=1 << 12)
+def _head(name: str, size: int) -> bytes:
+    """What stands before ``size`` bytes of numbers in the entry of a list."""
+    entry = _field(1, _field(1, name.encode()) + _field(2, _field(3, _field(1, bytes(size)))))
+    return entry[: len(entry) - size]
+
+
+def _varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All numbers one after the other, and where each ends."""
+    left = values.astype(np.int64).view(np.uint64)
+    sizes = np.ones(len(left), np.int64)
+    for group in range(1, 10):
+        sizes += left >= np.uint64(1 << 7 * group)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(sizes.sum()), np.uint8)
+    for group in range(sizes.max(initial=0)):
+        has = sizes > group
+        more = np.where(sizes[has] > group + 1, np.uint64(128), np.uint64(0))
+        out[(ends - sizes)[has] + group] = left[has] >> np.uint64(7 * group) & np.uint64(127) | more
+    return out.tobytes(), ends
+
+
+def encode_all(rows: pa.RecordBatch) -> list[bytes]:
+    """``encode`` of every row; the numbers of a column are written together."""
+    entries: list[list[bytes]] = [[] for _ in range(rows.num_rows)]
+    for name, column in zip(rows.schema.names, rows.columns):
+        if pa.types.is_list(column.type):
+            numbers, counts = column.flatten(), column.value_lengths().fill_null(0)
+        else:
+            numbers, counts = column.drop_null(), column.is_valid().cast(pa.int32())
+        if numbers.null_count:
+            raise ValueError(f"{name} holds a list with a null")
+        data, ends = _varints(numbers.to_numpy(zero_copy_only=False))
+        upto = np.append(0, ends)[np.append(0, np.cumsum(counts.to_numpy()))].tolist()
+        for entry, valid, low, high in zip(entries, column.is_valid().to_pylist(), upto, upto[1:]):
+            if valid:
+                entry.append(_head(name, high - low) + data[low:high])
+    return [_field(1, b"".join(entry)) for entry in entries]
+
+
 def _number(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while data[at] > 127:
@@ -105,15 +149,68 @@ def _numbers(packed: bytes) -> list[int]:
     return out
 
 
+def _short(data: bytes, names: set[str]) -> dict[str, bytes] | None:
+    """``_packed`` of a message as ``encode`` writes it, where no length takes more than a byte; none for any other."""
+    if len(data) > 129 or data[:1] != b"\n" or data[1] != len(data) - 2:
+        return None
+    out, at = {}, 2
+    while at < len(data):
+        body = at + 4 + data[at + 3]
+        low, high = body + 6, at + 2 + data[at + 1]
+        if data[at] != 10 or data[at + 2] != 10 or data[body] != 18 or data[body + 2] != 26 or data[body + 4] != 10 or low + data[body + 5] != high:
+            return None
+        name = data[at + 4 : body].decode()
+        if name in names:
+            out[name] = data[low:high]
+        at = high
+    return out
+
+
+def _packed(payload: bytes, names: set[str]) -> dict[str, bytes]:
+    """The written numbers of the lists of the wanted names; others are stepped over."""
+    try:
+        out = _short(payload, names)
+    except IndexError:
+        out = None
+    if out is None:
+        out = {}
+        for _, features in _fields(payload):
+            for _, entry in _fields(features):
+                parts = dict(_fields(entry))
+                name = parts[1].decode()
+                if name in names:
+                    out[name] = b"".join(packed for _, packed in _fields(dict(_fields(parts[2])).get(3, b"")))
+    return out
+
+
 def decode(payload: bytes, names: set[str]) -> dict[str, list[int]]:
-    """The lists of the wanted names; others are stepped over."""
-    out = {}
-    for _, features in _fields(payload):
-        for _, entry in _fields(features):
-            parts = dict(_fields(entry))
-            name = parts[1].decode()
-            if name in names:
-                out[name] = [n for _, packed in _fields(dict(_fields(parts[2])).get(3, b"")) for n in _numbers(packed)]
+    """The lists of the wanted names."""
+    return {name: _numbers(packed) for name, packed in _packed(payload, names).items()}
+
+
+def _values(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists one after the other, and where those of each list begin and end."""
+    if any(part and part[-1] > 127 for part in packed):
+        raise ValueError("a list of a record ends inside a number")
+    data = np.frombuffer(b"".join(packed), np.uint8)
+    last = data < 128
+    before = np.append(0, np.cumsum(last))
+    ends = before[np.append(0, np.cumsum([len(part) for part in packed], dtype=np.int64))]
+    if not len(data):
+        return np.empty(0, np.int64), ends
+    starts = np.append(0, np.nonzero(last)[0][:-1] + 1)
+    shifts = (np.arange(len(data)) - starts[before[:-1]]) * 7
+    parts = (data & 127).astype(np.uint64) << shifts.astype(np.uint64)
+    return np.add.reduceat(parts, starts).view(np.int64), ends
+
+
+def decode_all(payloads: list[bytes], names: set[str]) -> dict[str, pa.ListArray]:
+    """``decode`` of every payload, as a column per name; null where a payload lacks it."""
+    rows, out = [_packed(p, names) for p in payloads], {}
+    for name in names:
+        values, ends = _values([row.get(name, b"") for row in rows])
+        missing = pa.array([name not in row for row in rows], pa.bool_())
+        out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=missing)
     return out
 
 
@@ -176,42 +273,57 @@ def _open(path: str):
 
 
 @dataclass
-class _File(InputPartition):
-    name: str
-    shard: str
+class _Files(InputPartition):
+    files: list[tuple[str, str]]
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    files: list[tuple[str, str, int]]
+
+
+def _together(files: list[list]) -> list[_Files]:
+    """Files with their shards, cut in the order of the list; one of unknown size is a partition of its own."""
+    costs = [OPEN_BYTES + (size[0] if size else PARTITION_BYTES) for _, _, *size in files]
+    most, out, filled = min(PARTITION_BYTES, -(-sum(costs) // LEAST_PARTITIONS)), [], 0
+    for (name, shard, *_), cost in zip(files, costs):
+        if not out or filled >= most:
+            out.append(_Files([]))
+            filled = 0
+        out[-1].files.append((name, shard))
+        filled += cost
+    return out
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType) -> None:
         self.path, self.schema = path, schema
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Files]:
         listed = _lists(_open(self.path)).values()
-        return [_File(name, shard) for one in listed for name, shard in one["files"]] or [_File("", "")]
+        return _together([file for one in listed for file in one["files"]]) or [_Files([])]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if not partition.name:
-            return
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         files, root = _open(self.path)
+        for name, shard in partition.files:
+            yield from self._rows(files, root, name, shard)
+
+    def _rows(self, files, root: str, name: str, shard: str) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
         wanted = {f.name for f in self.schema if f.name != SHARD}
-        with files.open_input_stream(f"{root}/{partition.name}") as stream:
-            for payloads in read_records(stream, partition.name):
-                rows = [decode(p, wanted) for p in payloads]
-                columns = []
+        with files.open_input_stream(f"{root}/{name}") as stream:
+            for payloads in read_records(stream, name):
+                found, columns = decode_all(payloads, wanted), []
                 for field in self.schema:
                     if field.name == SHARD:
-                        values = [partition.shard] * len(rows)
+                        column = pa.array([shard] * len(payloads))
                     elif field.dataType == LISTS:
-                        values = [r.get(field.name) for r in rows]
+                        column = found[field.name]
                     else:
-                        values = [r[field.name][0] if r.get(field.name) else None for r in rows]
-                    columns.append(pa.array(values, schema.field(field.name).type))
+                        lists = found[field.name]
+                        low = lists.offsets.to_numpy()
+                        column = lists.values.take(pa.array(low[:-1], mask=low[1:] == low[:-1]))
+                    columns.append(column.cast(schema.field(field.name).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -223,28 +335,33 @@ class _Writer(DataSourceArrowWriter):
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
         written, sink = [], None
+
+        def close() -> None:
+            written[-1] = (*written[-1], sink.tell())
+            sink.close()
+
         try:
             for batch in iterator:
                 shards = batch.column(SHARD).to_pylist()
-                rows = batch.drop_columns([SHARD]).to_pylist()
+                payloads = encode_all(batch.drop_columns([SHARD]))
                 edges = [i for i in range(len(shards)) if i == 0 or shards[i] != shards[i - 1]]
                 for low, high in zip(edges, [*edges[1:], len(shards)]):
                     if sink is None or written[-1][1] != shards[low]:
                         if sink is not None:
-                            sink.close()
+                            close()
                         written.append((f"part-{uuid.uuid4().hex}.records", shards[low]))
                         sink = files.open_output_stream(f"{root}/{written[-1][0]}")
                     for at in range(low, high, BATCH_RECORDS):
-                        sink.write(frame([encode(r) for r in rows[at : min(high, at + BATCH_RECORDS)]]))
+                        sink.write(frame(payloads[at : min(high, at + BATCH_RECORDS)]))
         finally:
             if sink is not None:
-                sink.close()
+                close()
         return _Written(written)
 
     def commit(self, messages: list[_Written | None]) -> None:
         files, root = _open(self.path)
         replaces = list(_lists((files, root))) if self.overwrite else []
-        listed = [pair for m in messages if m is not None for pair in m.files]
+        listed = [file for m in messages if m is not None for file in m.files]
         files.create_dir(f"{root}/_committed", recursive=True)
         # written under another name first, so that a list is there as a whole or not at all
         name = f"{root}/_committed/{uuid.uuid4().hex}"
@@ -254,7 +371,7 @@ class _Writer(DataSourceArrowWriter):
 
     def abort(self, messages: list[_Written | None]) -> None:
         files, root = _open(self.path)
-        for name, _ in (pair for m in messages if m is not None for pair in m.files):
+        for name, *_ in (file for m in messages if m is not None for file in m.files):
             files.delete_file(f"{root}/{name}")
 
 
@@ -292,6 +409,6 @@ def write_records(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def read_shards(spark, path: str, schema: str | T.StructType) -> DataFrame:
-    """The given columns of all committed records, a partition per file."""
+    """The given columns of all committed records; small files share a partition."""
     spark.dataSource.register(RecordShards)
     return spark.read.format("record_shards").schema(schema).load(path)

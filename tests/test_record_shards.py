@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,28 @@ def test_failed_job_leaves_nothing(spark, tmp_path):
 def test_other_types_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="bigint"):
         rs.write_records(spark.createDataFrame([("a", "x")], "shard string, label string"), str(tmp_path / "out"))
+
+
+def test_small_files_share_a_partition(spark, tmp_path):
+    """300 shards of one record are read in no more than 64 tasks, each record once with its own shard."""
+    path = str(tmp_path / "out")
+    rs.write_records(spark.range(300).select(F.concat(F.lit("s"), "id").alias("shard"), F.col("id").alias("label")), path)
+    back = rs.read_shards(spark, path, "shard string, label bigint")
+    assert len(list(Path(path).glob("*.records"))) == 300 and back.rdd.getNumPartitions() <= 64
+    assert sorted(map(tuple, back.collect())) == sorted((f"s{i}", i) for i in range(300))
+    # lists that were written without sizes
+    assert [p.files for p in rs._together([["a", "x"], ["b", "y"]])] == [[("a", "x")], [("b", "y")]]
+
+
+def test_columns_as_single_rows():
+    """Whole columns are encoded and decoded as row by row, with long lists, numbers of all sizes and nulls."""
+    edges = [0, 127, 128, 2**14 - 1, 2**14, 2**62, 2**63 - 1, -1, -(2**63)]
+    rows = [{"a": edges, "b": 5}, {"a": [], "b": None}, {"a": None, "b": -7}, {"a": list(range(300)), "b": 2**40}, {"a": None, "b": None}]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.list_(pa.int64())), ("b", pa.int64())]))
+    payloads = rs.encode_all(batch)
+    assert payloads == [rs.encode(r) for r in rows]
+    assert rs.encode_all(batch.slice(1, 3)) == payloads[1:4]
+    found = rs.decode_all(payloads, {"a", "b", "c"})
+    for name, column in found.items():
+        assert column.to_pylist() == [rs.decode(p, {name}).get(name) for p in payloads]
+    assert found["a"].to_pylist() == [r["a"] for r in rows] and found["c"].to_pylist() == [None] * 5
