@@ -2,7 +2,7 @@
 
 import pytest
 
-from affinis.operators import ensemble, skew
+from affinis.operators import ensemble, evaluate, skew
 from affinis.plans import catalog_resolve, resolve
 from affinis.plans.bindings import Tables
 
@@ -79,3 +79,48 @@ def test_one_of_a_name_stays(spark):
     frame = spark.createDataFrame(rows, "text_id long, display_name string, pos int, inst_id long, clean string, clean_city string")
     got = sorted((r.text_id, r.inst_id) for r in ensemble.resolve_same_name(frame).collect())
     assert got == [(1, 5), (1, 7), (2, 5), (2, 9), (3, 1), (3, 8)]
+
+
+def test_texts_are_made_where_their_lines_are(tables, spark, capsys):
+    """Order texts are neither stored nor dealt again: lines are dealt by order, all else works in their tasks."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = ensemble.finalize_predictions(catalog_resolve.order_texts(tables), ensemble.flag_removals(ensemble.resolve_same_name(catalog_resolve.order_predictions(tables))))
+        capsys.readouterr()
+        frame.explain()
+        dealt = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(text_id" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt), dealt
+    assert not tables._made
+
+
+def test_preview_looks_institutions_up_beside_each_other(spark, capsys, monkeypatch):
+    scores = [(1, "basic", 1, 5, 0.5), (1, "lang", 1, 6, 0.25), (1, "lang", 2, 5, 0.125), (2, "basic", 1, -1, 1.0), (2, "lang", 1, None, 0.5), (None, "lang", 1, 7, 0.1)]
+    institutions = [(5, "5", "A", "Rome", None), (6, "6", "B", None, "x"), (6, "6", "C", "Bern", "w"), (None, "n", "N", "N", "N")]
+    frames = (spark.createDataFrame(scores, "text_id long, model string, rank int, inst_id long, score double"),
+              spark.createDataFrame(institutions, "inst_id long, registry_id string, display_name string, city string, country string"))
+    none, unknown = (None,) * 6, ("", "", "", "")
+    five, six, seven = ("5", "A", "Rome", ""), ("6", "C", "Bern", "x"), unknown
+    want = {
+        (1, 1): ("5", 0.5, *five, "6", 0.25, *six), (1, 2): (*none, "5", 0.125, *five),
+        (2, 1): ("-1", 1.0, *unknown, None, 0.5, *unknown), (None, 1): (*none, "7", 0.1, *seven),
+    }
+    for rows in (skew.BROADCAST_ROWS, 2):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", rows)
+        found = evaluate.scorer_preview(*frames)
+        assert {(r[0], r[1]): tuple(r)[2:] for r in found.collect()} == want
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out.splitlines()
+        wide = [x for x in plan if "Exchange hashpartitioning(text_id" in x]
+        assert wide and not [x for x in wide if "display_name" in x]
+    assert found.columns == ["text_id", "rank", *[f"{m}_{c}" for m in ("basic", "lang") for c in ("pred", "score", "registry_id", "display_name", "city", "country")]]
+
+
+def test_a_dimension_of_long_texts_is_not_held_by_every_task(spark, monkeypatch):
+    dim = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "array('y') AS list")
+    assert skew.fits_in_tasks(dim) and skew.fits_in_tasks(dim.limit(0))
+    monkeypatch.setattr(skew, "BROADCAST_CHARACTERS", 50_000)
+    assert not skew.fits_in_tasks(dim) and skew.fits_in_tasks(dim.select("id"))
