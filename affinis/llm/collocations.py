@@ -26,9 +26,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.common import blocks_of, in_small_batches, materialize, scratch_path, texts_of
@@ -39,7 +40,9 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 SHARDS, FILTER_SIZE = 3, 1 << 24
 BLOCK_BYTES, CHUNK_WORDS = 8 << 20, 200_000
 _TURN = 13  # bits by which the hash of each next word of a phrase is turned
-CORPUS = "shard int, lang string, n long, words array<string>, ids array<int>"
+CORPUS = "shard int, lang string, n long, words binary, ids binary"
+#: Chunks that go to a worker at a time (about a megabyte each), and bytes of a row group, which readers hold as a whole.
+BATCH_CHUNKS, GROUP_BYTES = 4, 8 << 20
 COUNTS = "lang string, size int, phrase string, start int, n long"
 
 
@@ -71,16 +74,31 @@ def _pieces(texts: list[bytes]):
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(lower[data[kind == 2]])]), opens
 
 
-def _one_list(values):
+def _chunk(shard: int, lang: str, n: int, words, ids):
+    """A row of the corpus: words, which hold no space, joined by one, and numbers of words as bytes."""
     import pyarrow as pa
 
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    columns = [pa.array([shard], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64())]
+    columns += [pa.array([value], pa.binary()) for value in (b" ".join(words.cast(pa.large_binary()).to_pylist()), ids.astype("<i4").tobytes())]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "n", "words", "ids"])
+
+
+def _chunks(batches: Iterable) -> Iterator[tuple]:
+    """(lang, words, ids) of each chunk, and its further columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+            words = pa.array(chunk.pop("words").split(b" "), pa.binary()).cast(pa.string())
+            ids = np.frombuffer(chunk.pop("ids"), "<i4")
+            yield chunk.pop("lang"), words if (ids >= 0).any() else words.slice(0, 0), ids, chunk
 
 
 def _cut(shards: int):
     def run(batches: Iterable) -> Iterator:
         import numpy as np
-        import pyarrow as pa
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -99,10 +117,7 @@ def _cut(shards: int):
                     coded = words.slice(at, end - at).dictionary_encode()
                     first = np.flatnonzero(opens[at:end])
                     ids = np.insert(coded.indices.to_numpy().astype(np.int32), first, -1)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([turn % shards], pa.int32()), pa.array([lang], pa.string()), pa.array([end - at], pa.int64()),
-                        _one_list(coded.dictionary.cast(pa.string())), _one_list(pa.array(ids)),
-                    ], ["shard", "lang", "n", "words", "ids"])
+                    yield _chunk(turn % shards, lang, end - at, coded.dictionary, ids)
                     at, turn = end, turn + 1
 
     return run
@@ -116,7 +131,8 @@ def _corpus(docs: DataFrame, shards: int) -> DataFrame:
 
 def _stored(chunks: DataFrame) -> DataFrame:
     path = scratch_path(chunks.sparkSession, "collocation-chunks")
-    chunks.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    small = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
+    chunks.write.options(compression="zstd", **small).partitionBy("shard").parquet(path)
     return chunks.sparkSession.read.schema(CORPUS).parquet(path)
 
 
@@ -179,12 +195,11 @@ def _scan(sent, step: int, shards: int, longest: int):
         import pyarrow as pa
 
         times = np.frombuffer(zlib.decompress(sent.value), np.uint8)
-        for batch in batches:
-            for lang, words, ids in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("ids")):
-                for size, phrases, start, counts in counted(lang, words.values, ids.values.to_numpy(), times, step, shards, longest):
-                    n = len(phrases)
-                    columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(size, pa.int32()), n), phrases.cast(pa.string()), pa.array(start), pa.array(counts)]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "start", "n"])
+        for lang, words, ids, _ in _chunks(batches):
+            for size, phrases, start, counts in counted(lang, words, ids, times, step, shards, longest):
+                n = len(phrases)
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(size, pa.int32()), n), phrases.cast(pa.string()), pa.array(start), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "start", "n"])
 
     return run
 
@@ -197,18 +212,12 @@ def _without_rare(sent):
         import pyarrow as pa
 
         times = np.frombuffer(zlib.decompress(sent.value), np.uint8)
-        for batch in batches:
-            shards, langs, totals = (batch.column(c).to_pylist() for c in ("shard", "lang", "n"))
-            for shard, lang, n, words, ids in zip(shards, langs, totals, batch.column("words"), batch.column("ids")):
-                words, ids = words.values, ids.values.to_numpy()
-                kept = _times(times, _hashed(words.to_pylist()) ^ _hashed([lang])[0]) > 0
-                number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
-                ids = number[ids]
-                ids = ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)]  # one break in a row
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64()),
-                    _one_list(words.filter(pa.array(kept))), _one_list(pa.array(ids)),
-                ], ["shard", "lang", "n", "words", "ids"])
+        for lang, words, ids, chunk in _chunks(batches):
+            kept = _times(times, _hashed(words.to_pylist()) ^ _hashed([lang])[0]) > 0
+            number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
+            ids = number[ids]
+            ids = ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)]  # one break in a row
+            yield _chunk(chunk["shard"], lang, chunk["n"], words.filter(pa.array(kept)), ids)
 
     return run
 
@@ -243,8 +252,25 @@ def _note(times, state: DataFrame, step: int, longest: int) -> bool:
     return bool(found)
 
 
+@contextmanager
+def _few_chunks(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send Python workers ``BATCH_CHUNKS`` rows at a time: a task's chunks would go in one batch else, however many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_CHUNKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent(corpus: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, filter_size: int = FILTER_SIZE) -> DataFrame:
     """lang, size, phrase, n of every phrase of 1 to ``longest`` words that is counted ``least`` times or more."""
+    with _few_chunks(corpus.sparkSession):
+        return _frequent(corpus, least, longest, shards, filter_size)
+
+
+def _frequent(corpus: DataFrame, least: int, longest: int, shards: int, filter_size: int) -> DataFrame:
     import numpy as np
 
     context = corpus.sparkSession.sparkContext

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from affinis.llm import collocations, queries
@@ -136,3 +137,27 @@ def test_query(spark):
     want = plain_best(rows)
     assert len(want) > 20
     assert sorted_rows(queries.op13_collocations(spark, sf).collect()) == sorted_rows(want)
+
+
+def test_a_task_holds_few_chunks_at_a_time(spark, monkeypatch, tmp_path):
+    """However many chunks a file has: row groups, which a reader takes as a whole, and what a worker gets are small."""
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(collocations, "GROUP_BYTES", 4096)
+    rows = [(" ".join(random.Random(n).choices(WORDS, k=400)) + ".", "en") for n in range(60)]
+    corpus = collocations._corpus(spark.createDataFrame(rows, "text string, lang string").coalesce(1), 1)
+    (file,) = corpus.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file:")).metadata
+    assert groups.num_rows == 60 and max(groups.row_group(g).num_rows for g in range(groups.num_row_groups)) < 10
+    seen, chunks = spark.sparkContext.accumulator(0), collocations._chunks
+
+    def watched(batches):
+        for batch in batches:
+            if batch.num_rows > collocations.BATCH_CHUNKS:
+                seen.add(1)
+            yield from chunks([batch])
+
+    monkeypatch.setattr(collocations, "_chunks", watched)
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in collocations.frequent(corpus, 100, shards=1).collect()}
+    assert got == plain_counts(rows, 100)[0]
+    assert seen.value == 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > collocations.BATCH_CHUNKS
